@@ -1,6 +1,7 @@
 """Queries of this subpackage, and the SQL of those that SQL can express."""
 
 from .classifier import classifier_query
+from .lm import lm_query
 from .mixing import mixing_query
 from .quality_rules import rules_query
 from .secrets import secrets_query
@@ -10,5 +11,6 @@ QUERIES = {
     "op4_classifier": classifier_query,
     "op5_rules": rules_query,
     "op6_secrets": secrets_query,
+    "op7_lm": lm_query,
 }
 ORACLE: dict[str, str] = {}
