@@ -20,17 +20,18 @@ from .scratch import settle, small_batches
 from .stats import Stats
 from .text import chunks
 
-#: name, statistic, bad beyond, good within: a rule abstains between the two.
+#: name, statistic, bad beyond, good up to: a rule abstains between the two; most know only what is bad.
 RULES = (
-    ("symbols", lambda s, n: s.n_symbols / n, 0.25, 0.05),
-    ("symbol_ends", lambda s, n: s.n_symbol_ends / n, 0.20, 0.05),
-    ("upper", lambda s, n: s.n_upper / np.maximum(s.n_letters, 1), 0.30, 0.12),
-    ("bangs", lambda s, n: s.n_bang / n, 0.20, 0.05),
-    ("repeats", lambda s, n: s.n_repeat_words / n, 0.30, 0.08),
-    ("duplicate_lines", lambda s, n: s.n_dup_lines / np.maximum(s.n_lines, 1), 0.30, 0.10),
-    ("adjacent", lambda s, n: s.n_adjacent / n, 0.15, 0.05),
-    ("long_words", lambda s, n: s.n_long_words / n, 0.20, 0.08),
-    ("bars", lambda s, n: s.n_bar / n, 0.15, 0.03),
+    ("symbols", lambda s, n: s.n_symbols / n, 0.20, None),
+    ("symbol_ends", lambda s, n: s.n_symbol_ends / n, 0.15, None),
+    ("upper", lambda s, n: s.n_upper / np.maximum(s.n_letters, 1), 0.30, None),
+    ("bangs", lambda s, n: s.n_bang / n, 0.20, None),
+    ("repeats", lambda s, n: s.n_repeat_words / n, 0.30, None),
+    ("adjacent", lambda s, n: s.n_adjacent / n, 0.15, None),
+    ("duplicate_lines", lambda s, n: s.n_dup_lines / np.maximum(s.n_lines, 1), 0.40, None),
+    ("long_words", lambda s, n: s.n_long_words / n, 0.20, None),
+    ("few_distinct", lambda s, n: 1 - s.n_distinct / n / np.minimum(1, 8 / np.log2(n + 2)), 0.70, None),
+    ("marks", lambda s, n: 1 - (s.n_letters + s.word_bytes - s.word_chars) / np.maximum(s.word_chars, 1), 0.20, 0.06),
 )
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -41,7 +42,7 @@ def votes(s: Stats) -> np.ndarray:
     out = np.zeros((len(n), len(RULES)), np.int8)
     for j, (_, f, bad, good) in enumerate(RULES):
         x = f(s, n)
-        out[:, j] = np.where(s.n_words == 0, 0, np.where(x > bad, 2, np.where(x <= good, 1, 0)))
+        out[:, j] = np.where(s.n_words == 0, 0, np.where(x > bad, 2, np.where(False if good is None else x <= good, 1, 0)))
     return out
 
 
@@ -63,30 +64,27 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each pattern, each rule's vote probabilities by class (bad, good), and the share of good.
+    """Posterior of good for each pattern, each rule's accuracy, and the share of good documents.
 
-    ``patterns`` is (m, rules) of 0, 1, 2.  Rules start out as right four times in five, which
-    fixes which class is which; pseudo-counts keep the estimates off 0 and 1.
+    ``patterns`` is (m, rules) of 0, 1, 2.  A rule that votes is right with its accuracy; one that
+    abstains says nothing.  Accuracies start at nine in ten, which fixes which class is which;
+    pseudo-counts and a floor keep rules from swapping sides.
     """
-    m, r = patterns.shape
-    hot = np.stack([patterns == v for v in range(3)], 2).astype(float)  # m, r, vote
-    p = np.empty((2, r, 3))
-    p[1], p[0] = [0.2, 0.64, 0.16], [0.2, 0.16, 0.64]
-    prior = 0.8
-    post = np.full(m, prior)
+    good, bad = patterns == 1, patterns == 2
+    accuracy, prior = np.full(patterns.shape[1], 0.9), 0.8
+    post = np.full(len(patterns), prior)
     for _ in range(rounds):
-        log = np.einsum("mrv,crv->cm", hot, np.log(p))
-        score = log[1] - log[0] + np.log(prior / (1 - prior))
+        weight = np.log(accuracy / (1 - accuracy))
+        score = good @ weight - bad @ weight + np.log(prior / (1 - prior))
         new = 1 / (1 + np.exp(-np.clip(score, -500, 500)))
         done = np.max(np.abs(new - post), initial=0) < 1e-9
         post = new
         if done:
             break
-        for c, weight in ((1, counts * post), (0, counts * (1 - post))):
-            total = np.einsum("m,mrv->rv", weight, hot) + np.array([1.0, 2.0 if c else 1.0, 1.0 if c else 2.0])
-            p[c] = total / total.sum(1, keepdims=True)
+        right = (counts * post) @ good + (counts * (1 - post)) @ bad
+        accuracy = np.clip((right + 9) / (counts @ (good | bad) + 10), 0.6, 0.999)
         prior = float(np.clip((counts @ post + 4) / (counts.sum() + 5), 1e-6, 1 - 1e-6))
-    return post, p, prior
+    return post, accuracy, prior
 
 
 def quality_votes(docs: DataFrame, threshold: float = 0.5, min_words: int = 50, repeat_share: float = 0.5) -> DataFrame:
