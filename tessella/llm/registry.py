@@ -2,6 +2,7 @@
 
 from .classifier import classifier_query
 from .decontaminate import decontaminate_query
+from .jaccard import jaccard_query
 from .lm import lm_query
 from .mixing import mixing_query
 from .preference import PREFERENCE_SQL, preference_query
@@ -12,6 +13,7 @@ from .secrets import secrets_query
 QUERIES = {
     "op1_mixing": mixing_query,
     "op2_decontaminate": decontaminate_query,
+    "op3_jaccard": jaccard_query,
     "op4_classifier": classifier_query,
     "op5_rules": rules_query,
     "op6_secrets": secrets_query,
