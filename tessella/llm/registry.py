@@ -3,6 +3,7 @@
 from .classifier import classifier_query
 from .decontaminate import decontaminate_query
 from .jaccard import jaccard_query
+from .lines import lines_query
 from .lm import lm_query
 from .mixing import mixing_query
 from .preference import PREFERENCE_SQL, preference_query
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_secrets": secrets_query,
     "op7_lm": lm_query,
     "op8_preference": preference_query,
+    "op9_lines": lines_query,
     "op10_sanitise": sanitise_query,
 }
 ORACLE: dict[str, str] = {"op8_preference": PREFERENCE_SQL}
