@@ -1 +1 @@
-"""Part of tessella."""
+"""Operators of the engine: DataFrame in, DataFrame out."""

@@ -1 +1 @@
-"""Part of tessella."""
+"""Reading corpora and vocabularies; keeping results and checkpoints as tables."""

@@ -1 +1 @@
-"""Part of tessella."""
+"""Structured Streaming forms of the engine's operators."""
