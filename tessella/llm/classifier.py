@@ -126,10 +126,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return fit(x[order], rows["y"].to_numpy(float)[order])
 
 
-def score(docs: DataFrame, forest: Forest) -> DataFrame:
-    """All columns of ``docs`` and score; documents without words score by their statistics, all zero."""
+def score(docs: DataFrame, forest: Forest, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score; documents without words score by their statistics, all zero."""
     small_batches(docs.sparkSession)
-    schema = docs.select("*").schema.add("score", "double")
+    schema = docs.select("*").schema.add(name, "double")
     names = schema.fieldNames()
 
     def run(batches):
@@ -162,4 +162,4 @@ def classifier_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: drop the documents that the classifier rejects.  Scores run beside the row, so no join is needed."""
     names = docs.columns
     forest = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, forest).where("score >= 0.5").select(*names)
+    return score(docs, forest, "forest_score_").where("forest_score_ >= 0.5").select(*names)

@@ -350,7 +350,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
 def _one_without_id(rows: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """Documents without an id that link to none with one: equal sets keep one row."""
     names = rows.columns
-    schema = rows.schema.add("f1_", "long").add("f2_", "long")
+    schema = rows.select("*").schema.add("f1_", "long").add("f2_", "long")
 
     def run(batches):
         for b in chunks(batches):
