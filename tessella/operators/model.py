@@ -35,8 +35,8 @@ def attention(rows: DataFrame, key: str, pos: str, causal: bool = True) -> DataF
     left = rows.select(key, F.col(pos).alias("i_"), "q")
     right = rows.select(F.col(key).alias("key_"), F.col(pos).alias("j_"), "k", "v")
     on = (F.col(key) == F.col("key_")) & ((F.col("j_") <= F.col("i_")) if causal else F.lit(True))
-    scored = left.join(right, on).select(key, "i_", "j_", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q"))).alias("s"), "v")
-    by = scored.groupBy(key, F.col("i_").alias(pos)).agg(F.array_sort(F.collect_list(F.struct("j_", "s", "v"))).alias("all"))
+    scored = left.join(right, on).select(key, "i_", "j_", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q"))).alias("score_"), "v")
+    by = scored.groupBy(key, F.col("i_").alias(pos)).agg(F.array_sort(F.collect_list(F.struct("j_", F.col("score_").alias("s"), "v"))).alias("all"))
     weights = by.select(key, pos, softmax(F.transform("all", lambda x: x["s"])).alias("w"), F.transform("all", lambda x: x["v"]).alias("vs"))
     size = F.size(F.col("vs")[0])
     out = F.transform(F.sequence(F.lit(0), size - 1), lambda d: F.aggregate(F.zip_with("w", "vs", lambda w, v: w * F.get(v, d)), F.lit(0.0), lambda a, x: a + x))
