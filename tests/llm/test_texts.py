@@ -194,6 +194,8 @@ def test_lines_awkward_rows(spark):
         got[r["doc_id"]].append(r["text"])
     assert got[1] == [edge.LINE + "\nother words stand here for a change today"]
     assert got[2] == ["", ""] and got[3] == [None] and got[8] == ["two words"] and len(got[None]) == 2
+    kept = Counter(r["doc_id"] for r in lines.dedup_lines(edge.docs(spark), keep_emptied=False).collect())
+    assert kept == Counter(r[0] for r in edge.ROWS) - Counter({2: 2})
     assert lines.dedup_lines(edge.docs(spark, []).limit(0)).count() == 0
 
 
