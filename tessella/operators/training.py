@@ -26,8 +26,8 @@ from ..functions.words import adjacent_pairs
 from ..sources.tables import settle
 from .counting import pair_counts, word_counts
 
-#: Up to so many distinct words are learned from in one place (some 200 MB).
-LOCAL_WORDS = 2_000_000
+#: Up to so many distinct words are learned from in one place (some 100 MB).
+LOCAL_WORDS = 1_000_000
 #: Pairs looked at in one distributed round.
 RANKING = 256
 

@@ -13,7 +13,7 @@ from tessella.operators import encoding
 from tessella.operators.vocabulary import Vocabulary, longest_merges, reverse_vocabulary
 from tessella.sources.corpus import hex_of_printable, read_delimited, read_lines, read_merges, read_vocabulary
 from tessella.sources.tables import Cache
-from tessella.streaming.encoding import append_to, encode_stream, watch_folder
+from tessella.streaming.encoding import append_to, encode_stream, watch_folder, watch_lines
 
 MERGES = (("61", "62"), ("6162", "63"), ("20", "6162"))
 SPECIAL = ("<|endoftext|>", "<|endoftext|><|endoftext|>")
@@ -135,3 +135,12 @@ def test_stream_equals_batch(spark, texts, tmp_path):
     append_to(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {r["i"]: r["ids"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {r["i"]: r["ids"] for r in encoding.encode(texts, v).collect()}
+
+
+def test_stream_of_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("ab\n\nabc\n", encoding="utf8")
+    v = Vocabulary(MERGES)
+    append_to(encode_stream(watch_lines(spark, str(tmp_path / "in")), v), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    got = [r["ids"] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == sorted([encoding.Encoder(v).encode(t) for t in ("ab\n", "\n", "abc\n")])
