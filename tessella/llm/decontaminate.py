@@ -2,9 +2,10 @@
 
 Texts and benchmark items become sequences of template tokens: lower-case words, with typed
 placeholders for numbers, units after numbers, and names (capitalised words within a sentence).
-Windows of eight template tokens are hash-joined.  Hits of a text and an item on one diagonal
-are an alignment; it is a leak when it covers half of the item's windows and its slots are
-consistent: a slot value of the item always stands for the same value in the text.
+Windows of eight template tokens are hash-joined; windows of an item that are mostly placeholders say
+nothing and are left out.  Hits of a text and an item on one diagonal are an alignment; it is a leak
+when it covers a third of the item's windows and its slots are consistent: a slot value of the item
+always stands for the same value in the text.
 
 Only DataFrame functions are used.  Windows of the corpus are never shuffled while the
 benchmark's windows, counted first, are few enough to broadcast; beyond that the join is a
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .scratch import settle
 
-WINDOW, COVER = 8, 0.5
+WINDOW, COVER = 8, 1 / 3
 #: Benchmark windows or slot candidates up to this many rows (about 50 MB) are broadcast.
 BROADCAST_ROWS = 1_000_000
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
@@ -86,12 +87,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
 
     ``exact`` says that no slot of the alignment was changed.  Defined results: null or empty texts
     and items match nothing; repeated items are one item; an item shorter than a window leaks where
-    a text's whole template equals its own; empty tables give no rows; other columns are ignored.
+    a text's whole template equals its own; an item of placeholders only leaks nowhere; empty tables give
+    no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min(F.col("text").cast("string")).alias("text"))
     parsed = items.select("item_id", "text", template(F.col("text")).alias("tokens"))
-    windows = settle(parsed.select("item_id", F.size(window_hashes(F.col("tokens"), width)).alias("item_windows"), F.posexplode(window_hashes(F.col("tokens"), width)).alias("ipos", "h")), "benchmark-windows")
+    said = parsed.select("item_id", "tokens", F.posexplode(window_hashes(F.col("tokens"), width)).alias("ipos", "h"))
+    plain_words = F.filter(F.slice("tokens", F.col("ipos") + 1, width), lambda t: ~t.isin(NUMBER, UNIT, NAME))
+    said = said.where(2 * F.size(plain_words) >= F.least(F.lit(width), F.size("tokens"))).select("item_id", "ipos", "h")
+    counts = said.groupBy("item_id").agg(F.count("*").cast("int").alias("item_windows"))
+    windows = settle(said.join(counts, "item_id"), "benchmark-windows")
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
     texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))

@@ -202,7 +202,7 @@ def test_lines_awkward_rows(spark):
 ITEMS = [
     (0, "The train from Paris to Berlin covers 300 km in 4 hours and then another 300 km in 5 hours, so what is its average speed overall"),
     (1, "every word of this item is plain and it says nothing about any number at all, only words follow words until the end"),
-    (2, "far too short"), (3, None), (None, "no id at all but many words in this one item here"),
+    (2, "far too short"), (4, "1 2 3 4 5 6 7 8 9 10 11 12 and 13"), (3, None), (None, "no id at all but many words in this one item here"),
 ]
 QUESTIONS = [
     (1, "intro text. " + ITEMS[0][1] + ". outro", {0: True}),
@@ -210,7 +210,7 @@ QUESTIONS = [
     (3, "The train from Rome to Madrid covers 120 miles in 7 hours and then another 130 miles in 9 hours, so what is its average speed overall", {}),
     (4, "EVERY!! WORD!! OF!! THIS!! ITEM!! IS!! PLAIN!! AND!! IT!! SAYS!! NOTHING!! ABOUT!! ANY!! NUMBER!! AT!! ALL!! only words follow", {1: True}),
     (5, "every word of this item is fine and it says quite a lot about some number at most, other words follow", {}),
-    (6, "Far too short!", {2: True}), (7, "this is far too short for that", {}), (8, None, {}), (9, "", {}),
+    (10, "numbers 5 8 1 3 9 12 44 2 71 6 80 91 and 15", {}), (6, "Far too short!", {2: True}), (7, "this is far too short for that", {}), (8, None, {}), (9, "", {}),
     (None, "no id here: " + ITEMS[1][1], {1: True}),
 ]
 
