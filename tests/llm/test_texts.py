@@ -116,13 +116,14 @@ def test_linked_sets_share_a_signature(base, seed, rule, frequent):
     assert sign(base) & sign(other)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [None, 40])
+def test_components(spark, task_edges):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(500, 600)] + [(700, i) for i in range(701, 900)]
-    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["id"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), task_edges=task_edges).collect()}
     want = union({v for e in links for v in e}, links)
     assert got == {v: r for v, r in want.items() if any(v in e and e[0] != e[1] for e in links)}
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), task_edges=task_edges).count() == 0
 
 
 def levenshtein(a, b):
