@@ -292,7 +292,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     ask = "src long, part int, keys binary, doc binary"
 
     asked = base.select("text").mapInArrow(ask_shared(k, parts), ask)
-    passed = asked.where("part < 0").unionAll(asked.where("part >= 0").groupBy("part").applyInArrow(count_shared, ask))
+    # the senders' own rows go along, dealt by sender, so that texts are read once
+    route = F.when(F.col("part") < 0, -1 - F.pmod(F.xxhash64("src"), F.lit(parts))).otherwise(F.col("part"))
+    passed = asked.groupBy(route.alias("route")).applyInArrow(count_shared, ask)
     prints = passed.groupBy("src").applyInArrow(keep_shared(rule), "print long")
     bits = spark.sparkContext.broadcast(bloom.build(prints))
 
