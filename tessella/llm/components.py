@@ -80,4 +80,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", task_edges: int | N
         if (count, total) == state:
             break
         state = (count, total)
-    return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    out._tessella_path = now._tessella_path  # noqa: SLF001  so that ``discard`` takes the result too
+    return out

@@ -303,6 +303,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     classes = table.where("body is not null").dropDuplicates(["f1", "f2"])
     sets = settle(classes.select(F.monotonically_increasing_id().alias("rid"), "f1", "f2", "n", "body"), "classes")
 
+    full = settle(table.drop("body"), "set-sizes")
+    discard(table)
+
     blocks = sets.select("rid", "n", "body", F.floor(F.col("rid") / BLOCK_SETS).alias("block"))
     set_parts = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // 2_000_000))
     counted = blocks.groupBy("block").applyInArrow(ask_counts(set_parts), ask).groupBy("part").applyInArrow(answer_counts, ask)
@@ -311,17 +314,19 @@ def jaccard_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 10
     candidate = components(signed.join(anchor, "sig").where("rid <> a").select("a", F.col("rid").alias("b")).distinct())
     items = sets.join(candidate, F.col("rid") == F.col("id")).select(F.col("root").alias("cluster"), "id", F.col("n").alias("weight"), "body")
     links = settle(verified_links(items, link_sets(rule)), "links")
+    discard(signed, candidate)
     found = components(links)
 
-    own = table.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
+    own = full.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
     joined = own.join(sets.select("f1", "f2", "rid").join(found, F.col("rid") == F.col("id")).select("f1", "f2", "root"), ["f1", "f2"], "left")
     roots = joined.where("root is not null").groupBy("root").agg(F.min("least").alias("all_least"))
     final = joined.join(roots, "root", "left").select("f1", "f2", F.coalesce("all_least", "least").alias("component_id"))
     final = settle(final, "class-components")
-    discard(signed)
-    full = table.select("doc_id", "n", "f1", "f2")
+    discard(sets, links, found)
     linked = full.where("n > 0").join(final, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "f1", "f2")
-    return linked.unionAll(full.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "f1", "f2"))
+    out = linked.unionAll(full.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "f1", "f2"))
+    out._tessella_tables = (full, final)  # noqa: SLF001  what the result still reads
+    return out
 
 
 def jaccard_query(spark, sf_dir: str) -> DataFrame:
@@ -334,7 +339,9 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> Data
 
     Rows that share a doc_id within a component, and components without any doc_id, keep one row.
     """
-    found = settle(jaccard_components(docs, k, num, den), "components")
+    joined = jaccard_components(docs, k, num, den)
+    found = settle(joined, "components")
+    discard(*joined._tessella_tables)  # noqa: SLF001
     keep = found.where("n_shingles > 0 and component_id is not null and doc_id = component_id").select("doc_id", "component_id")
     names = docs.columns
     unique = keep.count() == keep.select("component_id").distinct().count()
