@@ -4,12 +4,13 @@ Fixed patterns find the protected entities: e-mail and IP addresses, card and ph
 Corpus co-occurrence then tells which terms near an entity give it away: for term t and entity e,
 pointwise mutual information PMI(e; t) = log(p(e, t) / (p(e) p(t))) is the part of the entity's
 information content IC(e) = -log p(e) that the term discloses.  From ``generalise`` times IC on
-a term is generalised, from ``remove`` times on it is removed.
+a term is generalised, from ``remove`` times on it is removed.  The context is the whole document,
+and an entity of a single document counts like any other.
 
 Only DataFrame functions are used.  Matching is one pass without a shuffle; spans are found by
 splitting and extracting with the same expression, so offsets are sums of lengths.  Term
-frequencies are summed before they are shuffled.  What is joined back are only the terms near
-entities.
+frequencies are summed before they are shuffled.  What is joined back are only the terms of
+documents with entities, and of those only terms rare enough to disclose one at all.
 """
 
 from __future__ import annotations
@@ -27,9 +28,9 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-TERM = r"\p{L}{4,}"
-#: Code points on either side of an entity in which terms count as its context.
-NEAR = 120
+TERM = r"\p{L}+"
+#: Pieces that cut no term; their matches are placed by the piece's offset, which keeps long texts linear.
+PIECE = r"(?s).{1,2000}(?!\p{L})|.\p{L}+"
 NO_SPANS = "cast(array() as array<struct<s:int,e:int,m:string>>)"
 
 
@@ -65,56 +66,58 @@ def entities(text: Column) -> dict[str, Column]:
     return {k: F.coalesce(c, none) for k, c in found.items()}
 
 
-def _context(text: Column, x: Column) -> Column:
-    """The whole terms near one entity: array<struct(s, e, m)>."""
-    low = F.greatest(x["s"] - NEAR, F.lit(0))
-    before = matches(F.substr(text, low + 1, x["s"] - low), TERM)
-    after = matches(F.substr(text, x["e"] + 1, F.lit(NEAR)), TERM)
-    # a term cut by the window's edge isn't whole
-    before = F.filter(before, lambda t: (t["s"] > 0) | (low == 0))
-    after = F.filter(after, lambda t: t["e"] < NEAR)
-    moved = lambda terms, by: F.transform(terms, lambda t: F.struct((t["s"] + by).alias("s"), (t["e"] + by).alias("e"), F.lower(t["m"]).alias("m")))
-    return F.concat(moved(before, low), moved(after, x["e"]))
+def _terms(text: Column) -> Column:
+    """The terms of a text: array<struct(s, e, term)>."""
+    none = F.expr("cast(array() as array<struct<at:int,piece:string>>)")
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("piece")))).alias("out"))
+    pieces = F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    return F.flatten(F.transform(pieces, lambda p: F.transform(matches(p["piece"], TERM), lambda t: F.struct((t["s"] + p["at"]).alias("s"), (t["e"] + p["at"]).alias("e"), F.lower(t["m"]).alias("term")))))
 
 
 def find_entities(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Written table: rid, doc_id, email, ip, card, phone (spans), near (array of struct(entity, s, e, term))."""
+    """Written table: rid, doc_id, email, ip, card, phone (spans), near (array of struct(s, e, term): all terms,
+    in documents with an entity)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", text)
     found = base.select("rid", "doc_id", "text", *(c.alias(k) for k, c in entities(F.col("text")).items()))
     every = F.concat(*(F.col(k) for k in KINDS))
-    near = F.flatten(F.transform(every, lambda x: F.transform(_context(F.col("text"), x), lambda t: F.struct(F.lower(x["m"]).alias("entity"), t["s"].alias("s"), t["e"].alias("e"), t["m"].alias("term")))))
-    table = found.withColumn("near", F.when(F.size(every) > 0, near))
+    table = found.withColumn("near", F.when(F.size(every) > 0, _terms(F.col("text"))))
     return settle(table if keep_text else table.drop("text"), "entities")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, generalise: float, support: int) -> DataFrame:
-    """entity, term, share: terms that disclose at least ``generalise`` of an entity seen with them in ``support`` documents."""
-    total = found.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("p.*")
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    by_entity = found.select(F.explode(F.array_distinct(F.transform(F.concat(*KINDS), lambda x: F.lower(x["m"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+def disclosures(docs: DataFrame, found: DataFrame, generalise: float) -> DataFrame:
+    """rid, term, share: the most that a term discloses of an entity in its document, from ``generalise`` on."""
+    total = float(found.count())
+    held = found.where(F.size("near") > 0)
+    mine = held.select("rid", F.explode(F.array_distinct(F.transform(F.concat(*KINDS), lambda x: F.lower(x["m"])))).alias("entity"))
+    known = mine.join(mine.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity")
+    # all entities that only one document has get the same shares there, so one stands for them
+    single = known.where("n_entity = 1").groupBy("rid").agg(F.min("entity").alias("entity"), F.min("n_entity").alias("n_entity"))
+    known = known.where("n_entity > 1").select("rid", "entity", "n_entity").unionAll(single)
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text").cast("string"), F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
     by_term = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    joined = pairs.join(by_entity, "entity").join(by_term, "term")
+    said = held.select("rid", F.explode(F.array_distinct(F.transform("near", lambda x: x["term"]))).alias("term")).join(by_term, "term")
     information = F.log2(F.lit(total) / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    share = F.when(information > 0, pmi / information).otherwise(0.0)
-    return joined.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    # both together are in no more documents than either: a term too frequent for the threshold makes no pair
+    most = F.log2(F.lit(total) / F.greatest("n_entity", "n_term"))
+    pairs = settle(said.join(known, "rid").where((information > 0) & (most >= generalise * information - 1e-9)), "term-pairs")
+    pmi = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
+    told = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count("*").alias("n_both")).select("entity", "term", (pmi / information).alias("share"))
+    return pairs.join(told.where(F.col("share") >= generalise), ["entity", "term"]).groupBy("rid", "term").agg(F.max("share").alias("share"))
 
 
-def find_private(docs: DataFrame, generalise: float = 0.7, remove: float = 0.9, support: int = 3, keep_text: bool = False) -> DataFrame:
+def find_private(docs: DataFrame, generalise: float = 0.7, remove: float = 0.9, keep_text: bool = False) -> DataFrame:
     """rid, doc_id, email, ip, card, phone, terms (array of struct(s, e, action)), and text if asked for.
 
-    Terms within ``NEAR`` code points of an entity that disclose it are terms; those that overlap an
+    Terms of an entity's document that disclose it are terms; those that overlap an
     entity are left to it.  Defined results: null text is empty and has no spans; a null doc_id is a
     document like others; equal rows get equal rows; an empty table gives no rows; columns other than
     doc_id and text are ignored.
     """
     found = find_entities(docs, keep_text)
-    told = settle(disclosures(docs, found, generalise, support), "disclosures")
+    told = settle(disclosures(docs, found, generalise), "disclosures")
     near = found.where(F.size("near") > 0).select("rid", F.explode("near").alias("n")).select("rid", "n.*")
-    marked = near.join(told, ["entity", "term"]).groupBy("rid", "s", "e").agg(F.max("share").alias("share"))
+    marked = near.join(told, ["rid", "term"])
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
     terms = marked.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e", action.alias("action")))).alias("terms"))
     out = found.drop("near").join(terms, "rid", "left")

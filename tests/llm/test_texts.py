@@ -309,6 +309,17 @@ def test_disclosing_terms(spark):
     assert "Quorvexia" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == rest[0][1]
 
 
+def test_terms_of_an_entity_in_one_document(spark):
+    far = "common words " * 400
+    mail = [(0, f"Dr Ouz Quorvexia {far}asks zq@corp.org", "s")]
+    rest = [(100 + i, f"asks common words {i}", "s") for i in range(200)]
+    got = {r["doc_id"]: r for r in sanitise.report(sanitise.find_private(edge.docs(spark, mail + rest))).collect()}
+    terms = [s for s in got[0]["spans"].split(",") if s.startswith("term")]
+    assert terms == ["term:0:2", "term:3:6", "term:7:16"]  # names far away and short ones; not frequent words, nor parts of the entity
+    assert all(got[i]["spans"] == "" for i, _, _ in rest)
+    assert {r["doc_id"]: r["text"] for r in sanitise.sanitise(edge.docs(spark, mail + rest)).collect()}[0].strip() == far + "asks <EMAIL>"
+
+
 def test_preferences_against_sql(spark, small):
     got = preference.preference_query(spark, small).toPandas()
     con = duckdb.connect()
