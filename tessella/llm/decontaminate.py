@@ -32,7 +32,8 @@ SEPARATOR = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{UNIT}{NAME}]+"
 
 
 def _named(text: Column) -> Column:
-    return F.regexp_replace(text, NAME_PATTERN, NAME)
+    # spaces, so that the rest of a word such as YouTube is no part of the placeholder
+    return F.regexp_replace(text, NAME_PATTERN, f" {NAME} ")
 
 
 def template(text: Column) -> Column:

@@ -239,6 +239,13 @@ def test_leaks_against_brute_force(spark, small):
     assert got == whole
 
 
+def test_a_copy_after_an_inner_capital_leaks(spark):
+    item = "we saw that Anna met with Bruno before noon and later that Anna read a book while Bruno and Anna ate some bread with Bruno at home"
+    docs = edge.docs(spark, [(0, "on the YouTube and McDonald pages they say: " + item, "s"), (1, item, "s")])
+    got = {(r["doc_id"], r["exact"]) for r in decontaminate.leaking_documents(docs, edge.benchmark(spark, [(0, item)])).collect()}
+    assert got == {(0, True), (1, True)}
+
+
 def test_decontamination_of_nothing(spark):
     docs, items = edge.docs(spark), edge.benchmark(spark)
     assert decontaminate.remove_leaks(docs, items).count() == len(edge.ROWS)
