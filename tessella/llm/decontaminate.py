@@ -3,9 +3,11 @@
 Texts and benchmark items become sequences of template tokens: lower-case words, with typed
 placeholders for numbers, units after numbers, and names (capitalised words within a sentence).
 Windows of eight template tokens are hash-joined; windows of an item that are mostly placeholders say
-nothing and are left out.  Hits of a text and an item on one diagonal are an alignment; it is a leak
-when it covers a third of the item's windows and its slots are consistent: a slot value of the item
-always stands for the same value in the text.
+nothing and are left out.  Hits of a text and an item on one diagonal are an alignment, and so are those
+of a chain of diagonals, each at most the item's length from the next: words put in, left out or
+replaced by more or fewer move what follows to another diagonal.  An alignment is a leak when it covers
+a third of the item's windows and its slots are consistent: a slot value of the item always stands for
+the same value in the text.
 
 Only DataFrame functions are used.  Windows of the corpus are never shuffled while the
 benchmark's windows, counted first, are few enough to broadcast; beyond that the join is a
@@ -14,7 +16,7 @@ shuffle.  Verdicts depend on the text alone, so they are made once for each dist
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import settle
@@ -25,7 +27,8 @@ BROADCAST_ROWS = 1_000_000
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
 #: Units that count as such after a number.
 UNITS = "km|kg|cm|mm|mg|ml|lb|lbs|oz|ft|kb|mb|gb|tb|hz|mph|kmh|m|g|l|s|h|meters?|metres?|miles?|grams?|kilograms?|kilometers?|kilometres?|liters?|litres?|pounds?|ounces?|feet|inches|inch|yards?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
-NAME_PATTERN = r"\p{Lu}(?<=[\p{Ll},;]\x20\p{Lu})\p{Ll}+"
+#: A run of capitalised words is one name, so that names of one word and of more stand for each other.
+NAME_PATTERN = r"\p{Lu}(?<=[\p{Ll},;]\x20\p{Lu})\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*"
 NUMBER_PATTERN = r"[0-9]+(?:[.,:/][0-9]+)*"
 UNIT_PATTERN = rf"(?<=[0-9])\x20?(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
 SEPARATOR = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{UNIT}{NAME}]+"
@@ -96,7 +99,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     parsed = items.select("item_id", "text", template(F.col("text")).alias("tokens"))
     said = parsed.select("item_id", "tokens", F.posexplode(window_hashes(F.col("tokens"), width)).alias("ipos", "h"))
     plain_words = F.filter(F.slice("tokens", F.col("ipos") + 1, width), lambda t: ~t.isin(NUMBER, UNIT, NAME))
-    said = said.where(2 * F.size(plain_words) >= F.least(F.lit(width), F.size("tokens"))).select("item_id", "ipos", "h")
+    said = said.where(2 * F.size(plain_words) >= F.least(F.lit(width), F.size("tokens"))).select("item_id", "ipos", "h", F.size("tokens").alias("item_tokens"))
     counts = said.groupBy("item_id").agg(F.count("*").cast("int").alias("item_windows"))
     windows = settle(said.join(counts, "item_id"), "benchmark-windows")
     if windows.count() <= BROADCAST_ROWS:
@@ -105,9 +108,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     seen = texts.select(*text_keys(F.col("text")), F.posexplode(window_hashes(template(F.col("text")), width)).alias("pos", "h"))
     hits = seen.join(windows, "h")
     # copies of a text count once: positions, not rows
-    aligned = hits.groupBy("k1", "k2", "item_id", "item_windows", (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
-    aligned = aligned.select("*", F.size("at").alias("n_windows"), F.array_min("at").alias("low"), F.array_max("at").alias("high")).where(F.col("n_windows") >= F.greatest(F.lit(1), F.ceil(F.col("item_windows") * cover)))
-    aligned = settle(aligned.drop("at"), "alignments")
+    key = ["k1", "k2", "item_id", "item_windows", "item_tokens"]
+    lines = hits.groupBy(*key, (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
+    order = Window.partitionBy(*key).orderBy("shift")
+    far = F.coalesce(F.col("shift") - F.lag("shift").over(order) > F.col("item_tokens"), F.lit(False)).cast("int")
+    chained = lines.withColumn("far", far).withColumn("chain", F.sum("far").over(order)).groupBy(*key, "chain").agg(F.array_sort(F.collect_list(F.struct((-F.size("at")).alias("n"), "shift", "at"))).alias("lines"))
+    # each window of the item counts on the diagonal, of those that have it, with the most windows
+    step = lambda acc, x: F.struct(F.array_union(acc["seen"], x["at"]).alias("seen"), F.concat(acc["parts"], F.array(F.struct(x["shift"].alias("shift"), F.array_except(x["at"], acc["seen"]).alias("at")))).alias("parts"))
+    none = F.struct(F.expr("cast(array() as array<int>)").alias("seen"), F.expr("cast(array() as array<struct<shift:int,at:array<int>>>)").alias("parts"))
+    joined = F.filter(F.aggregate("lines", none, step, lambda acc: acc["parts"]), lambda x: F.size(x["at"]) > 0)
+    alone = F.transform("lines", lambda x: F.array(F.struct(x["shift"].alias("shift"), x["at"].alias("at"))))
+    aligned = chained.select(*key, F.explode(F.array_distinct(F.concat(F.array(joined), alone))).alias("parts"))
+    aligned = aligned.withColumn("n_windows", F.aggregate("parts", F.lit(0), lambda n, x: n + F.size(x["at"]))).where(F.col("n_windows") >= F.greatest(F.lit(1), F.ceil(F.col("item_windows") * cover)))
+    aligned = settle(aligned, "alignments")
     has_slots = parsed.select(F.col("item_id").alias("s_item"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens")).where(F.exists("tokens", lambda t: t.isin(NUMBER, UNIT, NAME)))
     open_ = aligned.join(has_slots.select("s_item"), F.col("item_id") == F.col("s_item"), "left_semi")
     plain = aligned.join(has_slots.select("s_item"), F.col("item_id") == F.col("s_item"), "left_anti").withColumn("exact", F.lit(True))
@@ -116,11 +129,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
         keys = open_.select("k1", "k2").distinct()
         keyed = texts.select(*text_keys(F.col("text")), "text").join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, ["k1", "k2"], "left_semi")
         one = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-        side = lambda c: [slots(F.col(c), p) for p in (NUMBER_PATTERN, UNIT_PATTERN, NAME_PATTERN)]
-        length = F.col("high") - F.col("low") + F.least(F.lit(width), F.size("s_tokens"))
         both = open_.join(one, ["k1", "k2"]).join(has_slots, F.col("item_id") == F.col("s_item")).withColumn("tokens", template(F.col("text")))
-        pairs = F.arrays_zip(_values(F.col("s_tokens"), F.col("low"), length, *side("s_text")).alias("b"), _values(F.col("tokens"), F.col("low") + F.col("shift"), length, *side("text")).alias("d"))
-        both = both.withColumn("slots", F.array_distinct(F.filter(F.transform(pairs, lambda p: F.struct(p["b"]["kind"].alias("kind"), p["b"]["value"].alias("was"), p["d"]["value"].alias("now"))), lambda s: s["was"].isNotNull())))
+        kinds = (NUMBER_PATTERN, UNIT_PATTERN, NAME_PATTERN)
+        both = both.withColumns({f"{c}_{i}": slots(F.col(c), p) for c in ("s_text", "text") for i, p in enumerate(kinds)})
+        side = lambda c: [F.col(f"{c}_{i}") for i in range(len(kinds))]
+
+        def on_line(x):
+            low = F.array_min(x["at"])
+            length = F.array_max(x["at"]) - low + F.least(F.lit(width), F.size("s_tokens"))
+            pairs = F.zip_with(_values(F.col("s_tokens"), low, length, *side("s_text")), _values(F.col("tokens"), low + x["shift"], length, *side("text")), lambda b, d: F.struct(b["kind"].alias("kind"), b["value"].alias("was"), d["value"].alias("now")))
+            return F.filter(pairs, lambda s, j: s["was"].isNotNull() & F.exists(x["at"], lambda i: (low + j).between(i, i + (width - 1))))
+
+        both = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("parts", on_line))))
         consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"]))))
         checked = both.where(consistent).withColumn("exact", F.forall("slots", lambda s: s["was"].eqNullSafe(s["now"])))
         plain = plain.unionByName(checked.select(*plain.columns))

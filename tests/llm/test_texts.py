@@ -246,6 +246,22 @@ def test_a_copy_after_an_inner_capital_leaks(spark):
     assert got == {(0, True), (1, True)}
 
 
+def test_decontamination_across_diagonals(spark):
+    plain = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    slotted = "a baker named Tom sold some bread to every guest of that inn before a rider came and took what Tom had left on his old table for him and Tom went home"
+    short, long = " ".join(plain[:24]), " ".join(plain)
+    texts = [
+        (0, [*plain[:12], "put", *plain[12:24]], {0}), (1, [*plain[:11], *plain[12:24]], {0}), (2, [*plain[:20], "put", *plain[20:40], "in", *plain[40:]], {0, 1}),
+        (3, [slotted.replace("Tom", "Mary Ann")], {2}), (4, [slotted], {2}), (5, plain[:8], set()),
+        (6, [*plain[:20], *["far"] * 80, *plain[20:40], *["far"] * 80, *plain[40:]], {0}),
+        (7, [slotted.replace("Tom", "Mary", 1).replace("what Tom", "what Lucy")], set()),
+    ]
+    docs = edge.docs(spark, [(i, " ".join(t), "s") for i, t, _ in texts])
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaking_documents(docs, edge.benchmark(spark, [(0, short), (1, long), (2, slotted)])).collect()}
+    assert {(i, k) for i, _, items in texts for k in items} <= got
+    assert not {i for i, _ in got} & {5, 7}
+
+
 def test_decontamination_of_nothing(spark):
     docs, items = edge.docs(spark), edge.benchmark(spark)
     assert decontaminate.remove_leaks(docs, items).count() == len(edge.ROWS)
