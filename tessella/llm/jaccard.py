@@ -51,6 +51,10 @@ class Rule:
         """How many of n shingles a linked set may lack."""
         return n * (self.den - self.num) // self.den
 
+    def alone(self, n):
+        """Whether a set of n shingles can be linked to none but equal sets: it lacks none of another's, and a larger one is too large."""
+        return (self.losses(n) == 0) & (n * self.den // self.num == n)
+
     def linked(self, shared, n, m):
         return self.den * shared >= self.num * (n + m - shared)
 
@@ -136,7 +140,7 @@ def keep_shared(rule: Rule):
             got = unpack(table.column("keys")[int(i)].as_py())
             shared[: len(got)] += got
         allowed = rule.losses(size)
-        go = (allowed > 0) & (total - shared <= allowed)
+        go = ~rule.alone(size) & (total - shared <= allowed)
         return pa.table({"print": pa.array(prints[go].view(np.int64))})
 
     return run

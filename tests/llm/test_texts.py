@@ -86,6 +86,18 @@ def test_jaccard_on_documents(spark, small):
     assert got == brute_jaccard(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize(("k", "num", "words"), [(3, 90, 11), (5, 80, 8)])
+def test_jaccard_of_a_set_inside_another(spark, k, num, words):
+    rows = []
+    for g in range(40):
+        w = [f"g{g}w{i}" for i in range(words)]
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join([*w, "more"]))]
+    got = jaccard.jaccard_components(edge.docs(spark, [(i, t, "s") for i, t in rows]), k, num).collect()
+    want = brute_jaccard(rows, k, num, 100)
+    assert want[1] == (words - k + 2, 0)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_jaccard_awkward_rows(spark):
     got = jaccard.jaccard_components(edge.docs(spark)).collect()
     assert len(got) == len(edge.ROWS)
