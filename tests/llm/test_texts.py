@@ -212,6 +212,13 @@ def test_lines_awkward_rows(spark):
     assert lines.dedup_lines(edge.docs(spark, []).limit(0)).count() == 0
 
 
+def test_short_lines_are_repeated_by_equal_ones(spark):
+    long = "a line of more than five words stands here"
+    rows = [(0, f"Home\n{long}\nShare this!\n--\nAll rights reserved"), (1, "HOME\nshare this\n--\nall rights\nbut this line is not like any other line"), (2, "All rights reserved.\nhome page"), (3, "home")]
+    got = {r["doc_id"]: r["dropped"] for r in lines.duplicate_lines(edge.docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got == {1: [0, 1], 2: [0], 3: [0]}
+
+
 ITEMS = [
     (0, "The train from Paris to Berlin covers 300 km in 4 hours and then another 300 km in 5 hours, so what is its average speed overall"),
     (1, "every word of this item is plain and it says nothing about any number at all, only words follow words until the end"),
