@@ -19,6 +19,34 @@ def lm_windows(sequences: DataFrame, context: int, stride: int | None = None, co
     return at.select(*rest, "start", F.slice(ids, F.col("start") + 1, context).alias("x"), F.slice(ids, F.col("start") + 2, context).alias("y"))
 
 
+def context_windows(sequences: DataFrame, context: int, column: str = "ids") -> DataFrame:
+    """All other columns, start, and the ids of every window of ``context`` ids, one after the other; the last may be shorter.
+
+    A sequence without ids has one row, of null start.
+    """
+    ids = F.col(column)
+    starts = F.when(F.size(ids) > 0, F.sequence(F.lit(0), F.size(ids) - 1, F.lit(context)))
+    rest = [c for c in sequences.columns if c != column]
+    at = sequences.select(*rest, column, F.explode_outer(starts).alias("start"))
+    return at.select(*rest, "start", F.slice(ids, F.col("start") + 1, context).alias(column))
+
+
+def dataset(sequences: DataFrame, order: str, column: str = "ids") -> DataFrame:
+    """pos, token_id: all sequences one after the other, by ``order`` and then by their ids.
+
+    Only lengths are summed over all rows: the ids stay where they are, beside their sequence's offset.
+    """
+    from pyspark.sql import Window
+
+    rows = sequences.where(F.col(column).isNotNull()).select(F.struct(order, column).alias("key"), F.size(column).cast("long").alias("n"))
+    lengths = rows.groupBy("key").agg(F.sum("n").alias("total"))
+    before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    first = lengths.select("key", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("first"))
+    copy = F.row_number().over(Window.partitionBy("key").orderBy("key")) - 1
+    placed = rows.withColumn("copy", copy).join(first, "key").select((F.col("first") + F.col("copy") * F.col("n")).alias("offset"), F.col(f"key.{column}").alias("ids"))
+    return placed.select("offset", F.posexplode("ids").alias("i", "token_id")).select((F.col("offset") + F.col("i")).alias("pos"), "token_id")
+
+
 def random_batch(dataset: DataFrame, batch: int, context: int, seed: int, device: str = "cpu") -> DataFrame:
     """b, start, x, y: ``batch`` windows of a (pos, token_id) table from uniformly random starts.
 

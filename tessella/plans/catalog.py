@@ -250,8 +250,8 @@ def start_histogram(spark, sf_dir):
 
 @query()
 def random_batch(spark, sf_dir):
-    coded = encoding.encode(_table(spark, sf_dir, "benchmark").where("item_id = 0").select("text"), _vocabulary(spark, sf_dir))
-    return windows.random_batch(coded.select(F.posexplode("ids").alias("pos", "token_id")), 32, 7, seed=1)
+    coded = encoding.encode(_table(spark, sf_dir, "benchmark").select("item_id", "text"), _vocabulary(spark, sf_dir))
+    return windows.random_batch(windows.dataset(coded, "item_id"), 32, 7, seed=1)
 
 
 @query("""select i it, round(case when i < 7 then i / 7.0 when i > 21 then 0.1 else 0.1 + 0.5 * (1 + cos(pi() * (i - 7) / 14)) * 0.9 end, 9) lr from range(25) t(i)""")
@@ -359,8 +359,8 @@ def transformer_logits(spark, sf_dir):
     config = model.Config(vocab_size=264, context_length=32, d_model=16, num_layers=2, num_heads=4, d_ff=32)
     v = _vocabulary(spark, sf_dir, 7)
     ids = encoding.encode(_table(spark, sf_dir, "benchmark").select("item_id", "text"), v)
-    first = ids.select("item_id", F.slice("ids", 1, config.context_length).alias("ids"))
-    return model.next_token_logits(first, config.random_weights(), config).select("item_id", F.array_max("logits").alias("top"))
+    parts = windows.context_windows(ids, config.context_length)
+    return model.next_token_logits(parts, config.random_weights(), config).select("item_id", "start", F.array_max("logits").alias("top"))
 
 
 # Reports

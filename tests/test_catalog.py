@@ -35,3 +35,19 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_dataset_has_all_sequences_in_order(spark):
+    from tessella.operators import windows
+
+    rows = [(2, [5, 6]), (0, [1, 2, 3]), (None, [9]), (None, [9]), (1, []), (2, [5, 6]), (3, None)]
+    got = {r["pos"]: r["token_id"] for r in windows.dataset(spark.createDataFrame(rows, "item_id long, ids array<int>"), "item_id").collect()}
+    assert [got[i] for i in range(len(got))] == [9, 9, 1, 2, 3, 5, 6, 5, 6]
+
+
+def test_queries_reach_all_items(spark):
+    n = spark.read.parquet(f"{SMALL}/benchmark.parquet").count()
+    tops = catalog.QUERIES["transformer_logits"](spark, SMALL).collect()
+    assert len({r["item_id"] for r in tops}) == n and len(tops) > n and all(r["top"] is not None for r in tops)
+    first = max(r["start"] for r in catalog.QUERIES["random_batch"](spark, SMALL).collect())
+    assert first > 500  # beyond any one item
