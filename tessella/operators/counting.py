@@ -11,12 +11,14 @@ from ..functions.pretokens import GPT2_PATTERN, pretokens, segments
 from ..functions.words import adjacent_pairs, as_word, merge_pair
 
 
-def token_counts(texts: DataFrame, column: str = "text", pattern: str = GPT2_PATTERN, special_tokens: Sequence[str] = ()) -> DataFrame:
-    """token, cnt: how often each pre-token occurs.  Null texts have none; special tokens only separate."""
+def token_counts(texts: DataFrame, column: str = "text", pattern: str = GPT2_PATTERN, special_tokens: Sequence[str] = (), least_bytes: int = 1) -> DataFrame:
+    """token, cnt: how often each pre-token of at least so many bytes occurs.  Null texts have none; special tokens only separate."""
     parts = texts.select(F.explode(segments(F.col(column), special_tokens)).alias("part")) if special_tokens else texts.select(F.col(column).alias("part"))
     tokens = parts.select(F.explode(pretokens(F.col("part"), pattern)).alias("token"))
     if special_tokens:
         tokens = tokens.where(~F.col("token").isin(*special_tokens))
+    if least_bytes > 1:
+        tokens = tokens.where(F.octet_length("token") >= least_bytes)
     return tokens.groupBy("token").agg(F.count("*").alias("cnt"))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,19 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir.  It must be set: a folder that only one machine sees would lose rows on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessella-")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):  # all tasks run on this machine
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella-intermediate"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        return found
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessella_path = path  # noqa: SLF001
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``settle`` that no later plan reads."""
+    for df in tables:
+        if path := getattr(df, "_tessella_path", None):
+            remove(df.sparkSession, path)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -103,3 +103,51 @@ def test_resume_from_merged_words():
     for a, b, _ in first:
         words = [(w.replace(f"<{a}><{b}>", f"<{a}{b}>"), c) for w, c in words]
     assert first + learn_locally(words, 3) == naive(counts, 5)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.dictionaries(st.text("abcd", min_size=1, max_size=8).map(str.encode), st.integers(1, 4), min_size=1, max_size=10), st.integers(1, 7), st.integers(1, 12), st.booleans())
+def test_a_round_with_any_cut_and_any_number_left(counts, left, cut, known_complete):
+    pairs = Counter()
+    for w, c in counts.items():
+        for a, b in zip(w, w[1:]):
+            pairs[bytes([a]), bytes([b])] += c
+    ranking = [(a.hex().upper(), b.hex().upper(), n) for (a, b), n in sorted(pairs.items(), key=lambda x: (x[1], x[0]), reverse=True)]
+    chosen = round_of_merges(ranking[:cut], left, known_complete and len(ranking) <= cut)
+    assert chosen == naive(counts, left)[: len(chosen)] and (chosen or not ranking) and len(chosen) <= left
+
+
+def test_ties_end_a_round():
+    assert round_of_merges([("64", "61", 1), ("63", "62", 1), ("61", "61", 1)], 2, True) == [("64", "61", 1)]
+
+
+def test_merges_of_a_corpus_against_the_naive_learner(spark, small):
+    import regex
+
+    from tessella.functions.pretokens import GPT2_PATTERN
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    counts = Counter(t.encode() for r in docs.collect() for t in regex.findall(GPT2_PATTERN, r["text"] or ""))
+    # the naive learner is slow: the commonest words, as documents of their own
+    common = dict(counts.most_common(400))
+    table = spark.createDataFrame([(w.decode(), n) for w, n in common.items()], "token string, n int").selectExpr("explode(array_repeat(token, n)) as text")
+    want = naive(Counter({w: n for t, n in common.items() for w in [t]}), 243)
+    pattern = r"(?s).+"
+    assert train(table, 257 + 243, ("<|endoftext|>",), pattern=pattern) == want
+    assert train(table, 257 + 40, ("<|endoftext|>",), pattern=pattern, local_words=0) == want[:40]
+
+
+@pytest.mark.parametrize("local", [0, 1000])
+def test_training_resumes_from_checkpoints(spark, tmp_path, local):
+    from tessella.progress import Progress
+    from tessella.sources.tables import Checkpoints
+
+    docs = spark.createDataFrame([("banana bandana ananas cabana banal nab aaaa aaab",)] * 3 + [("banana aaa",)], "text string")
+    whole = train(docs, 256 + 12, local_words=local)
+    kept = Checkpoints(spark, str(tmp_path))
+    with Progress(12) as progress:
+        assert train(docs, 256 + 5, local_words=local, checkpoints=kept, every=2, progress=progress) == whole[:5]
+    assert kept.iterations() and max(kept.iterations()) == 5
+    assert train(docs, 256 + 12, local_words=local, checkpoints=kept, every=2) == whole
+    assert train(docs, 256 + 12, local_words=1000 - local, checkpoints=kept, every=2) == whole
+    assert train(docs, 256 + 4, local_words=local, checkpoints=kept) == whole[:4]
