@@ -7,8 +7,10 @@ its size (8 MB, broadcast) never decides a result.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .exchange import pack, unpack
 from .text import mix
@@ -46,3 +48,13 @@ def build(keys: DataFrame) -> np.ndarray:
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     at = _positions(keys)
     return ((bits[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).all(0)
+
+
+def flag(bits):
+    """A function of a long column: may the filter (broadcast) hold the key."""
+
+    @F.pandas_udf("boolean")
+    def run(keys: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bits.value, keys.to_numpy(np.int64).view(np.uint64)))
+
+    return run

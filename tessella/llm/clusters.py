@@ -59,17 +59,17 @@ def verified_links(items: DataFrame, find: Callable[[pa.Table, np.ndarray, Fores
     task = F.explode(F.when(F.col("chunks") > 1, every).otherwise(F.array(F.pmod(F.xxhash64("cluster"), F.lit(bins)))))
 
     def run(table: pa.Table) -> pa.Table:
-        clusters = table.column("cluster").to_numpy()
-        order = np.argsort(clusters, kind="stable")
-        cuts = np.flatnonzero(np.diff(clusters[order])) + 1
+        table = table.sort_by("cluster").combine_chunks()
+        clusters, every, side = (table.column(c).to_numpy() for c in ("cluster", "id", "side"))
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(clusters)) + 1, [len(clusters)]]).tolist()
         a, b = [], []
-        for rows in np.split(order, cuts):
-            part = table.take(pa.array(rows))
-            ids = part.column("id").to_numpy()
-            forest = Forest(len(ids))
-            find(part, part.column("side").to_numpy(), forest)
-            a += [int(ids[i]) for i, _ in forest.edges]
-            b += [int(ids[j]) for _, j in forest.edges]
+        for low, high in zip(edges, edges[1:]):
+            if high - low < 2:
+                continue
+            forest = Forest(high - low)
+            find(table.slice(low, high - low), side[low:high], forest)
+            a += [int(every[low + i]) for i, _ in forest.edges]
+            b += [int(every[low + j]) for _, j in forest.edges]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return dealt.withColumn("task", task).groupBy("task").applyInArrow(run, "a long, b long")

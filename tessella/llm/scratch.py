@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``.  Where it is unset, a folder of the warehouse in local mode, where all
+    tasks run on one machine; an error on a cluster, as tasks would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessella-")
+    if found:
+        return found.rstrip("/")
+    if spark.sparkContext.master.startswith("local"):
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella-intermediate"
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        return found
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:

@@ -201,6 +201,65 @@ def test_lines_against_brute_force(spark, monkeypatch):
         assert left[i]["text"] == want and left[i]["n_chars"] == len(want)
 
 
+def fresh_word(rng):
+    return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8))
+
+
+def edited(rng, w, edits):
+    """So many edits of different words: replaced, left out, or a word put in."""
+    w = list(w)
+    for at in sorted(rng.choice(len(w), edits, replace=False).tolist(), reverse=True):
+        kind = rng.integers(4)
+        w[at : at + 1] = [[fresh_word(rng)], [], [w[at], fresh_word(rng)], [fresh_word(rng)]][kind]
+    return w
+
+
+@pytest.mark.parametrize("one_piece", [True, False])
+def test_recall_of_fuzzy_lines(spark, monkeypatch, one_piece):
+    """By edit similarity alone: lines of 6 to 12 words lose hardly any pair, longer ones at the threshold itself few."""
+    if not one_piece:
+        monkeypatch.setattr(lines, "PART_KEYS", 3)
+    rng, rows, groups = np.random.default_rng(12), [], {}
+    frequent = [fresh_word(rng) for _ in range(40)]
+    for n in (6, 8, 10, 12, 16, 20, 40, 80):
+        for _ in range(60):
+            for name, edits in (("one", 1), ("most", max(1, n // 5))):
+                base = [fresh_word(rng) if rng.random() < 0.6 else frequent[rng.integers(40)] for _ in range(n)]
+                other = edited(rng, base, edits)
+                if 100 * levenshtein(base, other) <= 20 * max(n, len(other)):
+                    rows += [(len(rows), " ".join(base), "s"), (len(rows) + 1, " ".join(other), "s")]
+                    groups.setdefault((n, name), []).append(len(rows) - 1)
+    lost = {r["doc_id"] for r in lines.duplicate_lines(edge.docs(spark, rows)).collect()}
+    recall = {k: sum(i in lost for i in ids) / len(ids) for k, ids in groups.items()}
+    assert all(r >= 0.98 for (n, name), r in recall.items() if n <= 12), recall
+    assert all(r >= (0.98 if name == "one" else 0.9) for (n, name), r in recall.items()), recall
+
+
+def test_unlike_lines_stay(spark):
+    rng = np.random.default_rng(3)
+    words = [fresh_word(rng) for _ in range(300)]
+    rows = [(i, " ".join(words[j] for j in rng.integers(0, 300, int(rng.integers(5, 40)))), "s") for i in range(400)]
+    near = [(400 + i, " ".join(edited(rng, rows[i][1].split(), int(0.35 * len(rows[i][1].split())) + 1)), "s") for i in range(50)]
+    both = rows + near
+    lost = {r["doc_id"] for r in lines.duplicate_lines(edge.docs(spark, both)).collect()}
+    split = {i: t.split() for i, t, _ in both}
+    alike = {i for i, w in split.items() for j, v in split.items() if j < i and 100 * levenshtein(w, v) <= 20 * max(len(w), len(v))}
+    assert lost <= alike
+
+
+def test_long_documents_of_many_repeated_lines(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        text = "\n".join(f"this is line number {chr(97 + i % 26)} of a text that repeats its few lines" for i in range(n))
+        began = time.perf_counter()
+        left = lines.dedup_lines(edge.docs(spark, [(0, text, "s")])).collect()
+        took.append(time.perf_counter() - began)
+        assert left[0]["text"].count("\n") <= 25
+    assert took[1] < 4 * took[0] + 10
+
+
 def test_lines_awkward_rows(spark):
     got = defaultdict(list)
     for r in lines.dedup_lines(edge.docs(spark)).collect():
