@@ -1,13 +1,14 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts and benchmark items become sequences of template tokens: lower-case words, with typed
-placeholders for numbers, units after numbers, and names (capitalised words within a sentence).
-Windows of eight template tokens are hash-joined; windows of an item that are mostly placeholders say
-nothing and are left out.  Hits of a text and an item on one diagonal are an alignment, and so are those
-of a chain of diagonals, each at most the item's length from the next: words put in, left out or
-replaced by more or fewer move what follows to another diagonal.  An alignment is a leak when it covers
-a third of the item's windows and its slots are consistent: a slot value of the item always stands for
-the same value in the text.
+placeholders for numbers, units after numbers, and names.  A name is a capitalised word within a
+sentence, and anywhere, at the start of a sentence or in capitals, a capitalised word that the benchmark
+never writes in lower case; neighbouring names are one.  Windows of eight template tokens are hash-joined;
+only windows of nearly nothing but placeholders are left out.  Hits of a text and an item on one diagonal
+are an alignment, and so are those of a chain of diagonals, each at most the item's length from the next:
+words put in, left out or replaced by more or fewer move what follows to another diagonal.  An alignment
+is a leak when it covers a third of the item's windows and some plain words, and when its slots are
+consistent: a value of the item always stands for the same value in the text, and no two of them for one.
 
 Only DataFrame functions are used.  Windows of the corpus are never shuffled while the
 benchmark's windows, counted first, are few enough to broadcast; beyond that the join is a
@@ -22,47 +23,88 @@ from pyspark.sql import functions as F
 from .scratch import settle
 
 WINDOW, COVER = 8, 1 / 3
+#: An alignment covers so many plain words of the item, or half of the item's length where that is less.
+PLAIN_WORDS = 4
 #: Benchmark windows or slot candidates up to this many rows (about 50 MB) are broadcast.
 BROADCAST_ROWS = 1_000_000
+#: So many of the benchmark's lower-case words, the commonest, are told from names where they are capitalised.  A rarer
+#: one counts as a name there, in items and in texts alike, so that copies still agree.
+ORDINARY_WORDS = 20_000
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
 #: Units that count as such after a number.
-UNITS = "km|kg|cm|mm|mg|ml|lb|lbs|oz|ft|kb|mb|gb|tb|hz|mph|kmh|m|g|l|s|h|meters?|metres?|miles?|grams?|kilograms?|kilometers?|kilometres?|liters?|litres?|pounds?|ounces?|feet|inches|inch|yards?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?"
-#: A run of capitalised words is one name, so that names of one word and of more stand for each other.
-NAME_PATTERN = r"\p{Lu}(?<=[\p{Ll},;]\x20\p{Lu})\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)*"
-NUMBER_PATTERN = r"[0-9]+(?:[.,:/][0-9]+)*"
-UNIT_PATTERN = rf"(?<=[0-9])\x20?(?i:{UNITS})(?![\p{{L}}\p{{N}}])"
-SEPARATOR = rf"[^\p{{L}}\p{{M}}\p{{N}}{NUMBER}{UNIT}{NAME}]+"
+UNITS = "km kg cm mm mg ml lb lbs oz ft kb mb gb tb hz mph kmh m g l s h meter meters metre metres mile miles gram grams kilogram kilograms kilometer kilometers kilometre kilometres liter liters litre litres pound pounds ounce ounces foot feet inches inch yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split()
+#: The start of a capitalised word within a sentence; it gets a mark.
+INNER_CAPITAL = r"\p{Lu}(?<=[\p{Ll},;]\x20\p{Lu})(?=\p{Ll})"
+TOKEN = rf"[0-9]+(?:[.,:/][0-9]+)*|{NAME}?(?:(?![0-9])[\p{{L}}\p{{M}}\p{{N}}])+"
+LOWER_WORD = r"(?<![\p{L}\p{M}\p{N}])\p{Ll}[\p{Ll}\p{M}]*(?![\p{L}\p{N}])"
+AFTER_DIGITS = ":"
 
 
-def _named(text: Column) -> Column:
-    # spaces, so that the rest of a word such as YouTube is no part of the placeholder
-    return F.regexp_replace(text, NAME_PATTERN, f" {NAME} ")
+def raw_tokens(text: Column) -> Column:
+    """Numbers and words as they stand; capitalised words within a sentence are marked."""
+    return F.regexp_extract_all(F.regexp_replace(text, INNER_CAPITAL, f"{NAME}$0"), F.lit(TOKEN), F.lit(0))
 
 
-def template(text: Column) -> Column:
+def _kinds(raw: Column, ordinary: list[str]) -> Column:
+    """A template token for each raw one."""
+
+    def kind(t, i):
+        number = t < AFTER_DIGITS  # tokens begin with a digit, a letter or the mark
+        low = F.lower(t)
+        capital = (low != t) & ~low.isin(ordinary) if ordinary else low != t
+        unit = F.coalesce(F.get(raw, i - 1) < AFTER_DIGITS, F.lit(False)) & low.isin(UNITS)
+        return F.when(number, NUMBER).when(unit, UNIT).when(F.startswith(t, F.lit(NAME)) | capital, NAME).otherwise(low)
+
+    return F.transform(raw, kind)
+
+
+def _later_name(kinds: Column, i: Column) -> Column:
+    return (F.get(kinds, i) == NAME) & F.get(kinds, i - 1).eqNullSafe(F.lit(NAME))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def template(text: Column, ordinary: list[str] = ()) -> Column:
     """The template tokens of a text."""
-    named = _named(text)
-    with_digits = F.regexp_replace(F.regexp_replace(named, UNIT_PATTERN, f" {UNIT} "), NUMBER_PATTERN, f" {NUMBER} ")
-    return F.array_remove(F.split(F.lower(F.when(text.rlike("[0-9]"), with_digits).otherwise(named)), SEPARATOR), "")
+    joined = lambda kinds: F.filter(kinds, lambda t, i: (t != NAME) | ~F.get(kinds, i - 1).eqNullSafe(F.lit(NAME)))
+    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, list(ordinary)), joined))
+
 
+def slots(text: Column, ordinary: list[str] = ()) -> Column:
+    """struct(kind, value) of each template token; value, the raw one in lower case, is null where no placeholder stands."""
 
-def slots(text: Column, pattern: str) -> Column:
-    """The raw values behind one kind of placeholder, in order."""
-    source = text if pattern == NAME_PATTERN else _named(text)
-    if pattern == NUMBER_PATTERN:
-        source = F.regexp_replace(source, UNIT_PATTERN, f" {UNIT} ")
-    return F.transform(F.regexp_extract_all(source, F.lit(f"({pattern})"), F.lit(1)), lambda v: F.lower(F.trim(v)))
+    def of(raw, kinds):
+        n = F.size(kinds)
+        at = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | ~F.coalesce(_later_name(kinds, i), F.lit(False)))
+
+        def slot(at, i, j):
+            words = F.slice(raw, i + 1, F.get(at, j + 1) - i)  # up to the next template token
+            value = F.translate(F.lower(F.array_join(words, " ")), NAME, "")
+            return F.struct(F.get(kinds, i).alias("kind"), F.when(F.get(kinds, i).isin(NUMBER, UNIT, NAME), value).alias("value"))
+
+        return _bound(at, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda i, j: slot(at, i, j)))
+
+    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, list(ordinary)), lambda kinds: F.when(F.size(kinds) > 0, of(raw, kinds)).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))))
+
+
+def ordinary_words(items: DataFrame) -> list[str]:
+    """The benchmark's commonest words in lower case (at most ``ORDINARY_WORDS``)."""
+    words = items.select(F.explode(F.regexp_extract_all("text", F.lit(LOWER_WORD), F.lit(0))).alias("word"))
+    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(ORDINARY_WORDS).collect()]
 
 
 def window_hashes(tokens: Column, width: int = WINDOW) -> Column:
-    """A hash of every window; a shorter sequence is one window of its own.  ``tokens`` is evaluated once."""
+    """A hash of every window; a shorter sequence is one window of its own."""
 
     def of(w):
         n = F.size(w)
         many = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
         return F.when(n >= width, many).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
-    return F.transform(F.array(tokens), of)[0]
+    return _bound(F.transform(tokens, lambda t: F.xxhash64(t)), of)
 
 
 def text_keys(text: Column) -> list[Column]:
@@ -70,45 +112,32 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _values(tokens: Column, low: Column, count: Column, numbers: Column, units: Column, names: Column) -> Column:
-    """struct(kind, value) of the ``count`` tokens from ``low`` (0-based); value is null where no placeholder stands."""
-    part = F.slice(tokens, low + 1, count)
-    before = F.slice(tokens, F.lit(1), low)
-    many = lambda array, mark: F.size(F.filter(array, lambda x: x == mark))
-
-    def value(token, j):
-        earlier = F.slice(part, F.lit(1), j)
-        pick = F.lit(None).cast("string")
-        for mark, given in ((NUMBER, numbers), (UNIT, units), (NAME, names)):
-            pick = F.when(token == mark, F.get(given, many(before, mark) + many(earlier, mark))).otherwise(pick)
-        return F.struct(token.alias("kind"), pick.alias("value"))
-
-    return F.transform(part, value)
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover: float = COVER) -> DataFrame:
     """k1, k2 (the text's keys), item_id, n_windows, item_windows, exact: one row for each text and item it leaks.
 
     ``exact`` says that no slot of the alignment was changed.  Defined results: null or empty texts
     and items match nothing; repeated items are one item; an item shorter than a window leaks where
-    a text's whole template equals its own; an item of placeholders only leaks nowhere; empty tables give
-    no rows; other columns are ignored.
+    a text's whole template equals its own; an item of nearly nothing but placeholders leaks nowhere; empty
+    tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null and text is not null").groupBy("item_id").agg(F.min(F.col("text").cast("string")).alias("text"))
-    parsed = items.select("item_id", "text", template(F.col("text")).alias("tokens"))
-    said = parsed.select("item_id", "tokens", F.posexplode(window_hashes(F.col("tokens"), width)).alias("ipos", "h"))
+    ordinary = ordinary_words(items)
+    # an item stands as it is written and, for texts that have no capitals, all in lower case
+    forms = F.array_distinct(F.array("text", F.lower("text")))
+    parsed = items.select("item_id", F.posexplode(forms).alias("form", "text")).select("item_id", "form", "text", template(F.col("text"), ordinary).alias("tokens"))
+    said = parsed.select("item_id", "form", "tokens", F.posexplode(window_hashes(F.col("tokens"), width)).alias("ipos", "h"))
     plain_words = F.filter(F.slice("tokens", F.col("ipos") + 1, width), lambda t: ~t.isin(NUMBER, UNIT, NAME))
-    said = said.where(2 * F.size(plain_words) >= F.least(F.lit(width), F.size("tokens"))).select("item_id", "ipos", "h", F.size("tokens").alias("item_tokens"))
-    counts = said.groupBy("item_id").agg(F.count("*").cast("int").alias("item_windows"))
-    windows = settle(said.join(counts, "item_id"), "benchmark-windows")
+    said = said.where(4 * F.size(plain_words) >= F.least(F.lit(width), F.size("tokens"))).select("item_id", "form", "ipos", "h", F.size("tokens").alias("item_tokens"))
+    counts = said.groupBy("item_id", "form").agg(F.count("*").cast("int").alias("item_windows"))
+    windows = settle(said.join(counts, ["item_id", "form"]), "benchmark-windows")
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
     texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
-    seen = texts.select(*text_keys(F.col("text")), F.posexplode(window_hashes(template(F.col("text")), width)).alias("pos", "h"))
-    hits = seen.join(windows, "h")
+    seen = texts.select(*text_keys(F.col("text")), (F.lower("text") == F.col("text")).alias("low"), F.posexplode(window_hashes(template(F.col("text"), ordinary), width)).alias("pos", "h"))
+    hits = seen.join(windows, "h").where((F.col("form") == 0) | F.col("low"))
     # copies of a text count once: positions, not rows
-    key = ["k1", "k2", "item_id", "item_windows", "item_tokens"]
+    key = ["k1", "k2", "item_id", "form", "item_windows", "item_tokens"]
     lines = hits.groupBy(*key, (F.col("pos") - F.col("ipos")).alias("shift")).agg(F.collect_set("ipos").alias("at"))
     order = Window.partitionBy(*key).orderBy("shift")
     far = F.coalesce(F.col("shift") - F.lag("shift").over(order) > F.col("item_tokens"), F.lit(False)).cast("int")
@@ -121,27 +150,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     aligned = chained.select(*key, F.explode(F.array_distinct(F.concat(F.array(joined), alone))).alias("parts"))
     aligned = aligned.withColumn("n_windows", F.aggregate("parts", F.lit(0), lambda n, x: n + F.size(x["at"]))).where(F.col("n_windows") >= F.greatest(F.lit(1), F.ceil(F.col("item_windows") * cover)))
     aligned = settle(aligned, "alignments")
-    has_slots = parsed.select(F.col("item_id").alias("s_item"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens")).where(F.exists("tokens", lambda t: t.isin(NUMBER, UNIT, NAME)))
-    open_ = aligned.join(has_slots.select("s_item"), F.col("item_id") == F.col("s_item"), "left_semi")
-    plain = aligned.join(has_slots.select("s_item"), F.col("item_id") == F.col("s_item"), "left_anti").withColumn("exact", F.lit(True))
+    has_slots = parsed.select(F.col("item_id").alias("s_item"), F.col("form").alias("s_form"), F.col("text").alias("s_text"), F.col("tokens").alias("s_tokens")).where(F.exists("tokens", lambda t: t.isin(NUMBER, UNIT, NAME)))
+    same = (F.col("item_id") == F.col("s_item")) & (F.col("form") == F.col("s_form"))
+    open_ = aligned.join(has_slots.select("s_item", "s_form"), same, "left_semi")
+    plain = aligned.join(has_slots.select("s_item", "s_form"), same, "left_anti").withColumn("exact", F.lit(True))
     count = open_.count()
     if count:
         keys = open_.select("k1", "k2").distinct()
         keyed = texts.select(*text_keys(F.col("text")), "text").join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, ["k1", "k2"], "left_semi")
         one = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-        both = open_.join(one, ["k1", "k2"]).join(has_slots, F.col("item_id") == F.col("s_item")).withColumn("tokens", template(F.col("text")))
-        kinds = (NUMBER_PATTERN, UNIT_PATTERN, NAME_PATTERN)
-        both = both.withColumns({f"{c}_{i}": slots(F.col(c), p) for c in ("s_text", "text") for i, p in enumerate(kinds)})
-        side = lambda c: [F.col(f"{c}_{i}") for i in range(len(kinds))]
+        both = open_.join(one, ["k1", "k2"]).join(has_slots, same)
+        both = both.withColumns({"said": slots(F.col("s_text"), ordinary), "here": slots(F.col("text"), ordinary), "covered": F.flatten(F.transform("parts", lambda x: x["at"]))})
 
         def on_line(x):
             low = F.array_min(x["at"])
             length = F.array_max(x["at"]) - low + F.least(F.lit(width), F.size("s_tokens"))
-            pairs = F.zip_with(_values(F.col("s_tokens"), low, length, *side("s_text")), _values(F.col("tokens"), low + x["shift"], length, *side("text")), lambda b, d: F.struct(b["kind"].alias("kind"), b["value"].alias("was"), d["value"].alias("now")))
+            pairs = F.zip_with(F.slice("said", low + 1, length), F.slice("here", low + x["shift"] + 1, length), lambda b, d: F.struct(b["kind"].alias("kind"), b["value"].alias("was"), d["value"].alias("now")))
             return F.filter(pairs, lambda s, j: s["was"].isNotNull() & F.exists(x["at"], lambda i: (low + j).between(i, i + (width - 1))))
 
-        both = both.withColumn("slots", F.array_distinct(F.flatten(F.transform("parts", on_line))))
-        consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s["was"]))))
+        plain_said = F.filter("said", lambda s, j: s["value"].isNull() & F.exists("covered", lambda i: j.between(i, i + (width - 1))))
+        both = both.withColumn("n_plain", F.size(plain_said)).withColumn("slots", F.array_distinct(F.flatten(F.transform("parts", on_line))))
+        many = lambda name: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[name]))))
+        enough = F.col("n_plain") >= F.least(F.lit(PLAIN_WORDS), F.ceil(F.size("s_tokens") / 2))
+        consistent = enough & (F.size("slots") == many("was")) & (F.size("slots") == many("now"))
         checked = both.where(consistent).withColumn("exact", F.forall("slots", lambda s: s["was"].eqNullSafe(s["now"])))
         plain = plain.unionByName(checked.select(*plain.columns))
     return plain.groupBy("k1", "k2", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.max("exact").alias("exact"))

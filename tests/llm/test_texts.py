@@ -340,6 +340,61 @@ def test_decontamination_across_diagonals(spark):
     assert not {i for i, _ in got} & {5, 7}
 
 
+def test_names_anywhere_are_slots(spark):
+    item = "Tom has 5 red apples. Tom buys 3 pears. Tom eats 2 figs. How many pieces of fruit does Tom have now?"
+    other = "Where does a train go when it has left? A report on how many pieces of red fruit the men eat, and on what now buys apples, pears and figs"
+    texts = {
+        0: item, 1: item.replace("Tom", "Ann"), 2: item.replace("Tom", "Ann").replace("5 red", "7 red"), 3: item.upper(), 4: item.replace("Tom", "Mary Ann Lee").replace("3", "14"),
+        5: "Some words before. " + item.replace("Tom", "Ann") + " And more after.", 6: item.lower(),
+        7: item.replace("Tom buys", "Ann buys"), 8: other,
+    }
+    items = edge.benchmark(spark, [(0, item), (1, other)])
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.leaking_documents(edge.docs(spark, [(i, t, "s") for i, t in texts.items()]), items).collect()}
+    assert got.pop((8, 1)) and {i for i, k in got if k == 0} == set(got_i for got_i, _ in got) == {0, 1, 2, 3, 4, 5, 6}
+    assert got[0, 0] and not got[1, 0] and not got[2, 0]
+
+
+def test_slots_are_one_to_one(spark):
+    item = "the first of them gave 4 coins and the second of them gave 9 coins to the poor man who sat near the gate all day"
+    same = item.replace("4", "6").replace("9", "6")
+    docs = edge.docs(spark, [(0, item.replace("4", "6").replace("9", "8"), "s"), (1, same, "s")])
+    assert {r["doc_id"] for r in decontaminate.leaking_documents(docs, edge.benchmark(spark, [(0, item)])).collect()} == {0}
+
+
+def test_re_parameterised_items_leak(spark, small):
+    """Items with names, numbers and units of their own, then with others in their places."""
+    rng = np.random.default_rng(4)
+    base = [r["text"].split() for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    syllables = ["ka", "lo", "mi", "ner", "zu", "tha", "bre", "qui"]
+    names = ["".join(rng.choice(syllables, 3)).capitalize() for _ in range(600)]
+    units = ["km", "kg", "miles", "hours", "days", "dollars", "liters"]
+
+    def filled(words, who, numbers, unit):
+        out, k = [], 0
+        for i, w in enumerate(words):
+            if i % 6 == 1:
+                w = f"{numbers[k % len(numbers)]} {unit}"
+                k += 1
+            elif i % 9 == 4:
+                w = who[k % len(who)]
+            if i % 11 == 0:  # a sentence begins, now and then with a name
+                w = (who[0] if i % 2 else w.capitalize())
+                out[-1:] = [x + "." for x in out[-1:]]
+            out.append(w)
+        return " ".join(out)
+
+    draw = lambda: ([str(x) for x in rng.choice(names, 2, replace=False)], rng.choice(1000, 7, replace=False).tolist(), units[rng.integers(len(units))])
+    items = [(i, filled(w, *draw())) for i, w in enumerate(base) if len(w) >= 12]
+    docs = [(i, "Before it stands this. " + filled(base[i], *draw()) + " After it comes more.", "s") for i, _ in items]
+    clean = [(10_000 + r["doc_id"], r["text"], "s") for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    clean = [r for r in clean if not any(" ".join(w[j : j + 5]).lower() in plain(r[1]) for w in base for j in range(0, len(w) - 5, 3))]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaking_documents(edge.docs(spark, docs + clean), edge.benchmark(spark, items)).collect()}
+    assert sum((i, i) in got for i, _ in items) >= 0.9 * len(items)
+    assert len({i for i, _ in got if i >= 10_000}) <= 0.01 * len(clean)
+    assert all(i == k for i, k in got if i < 10_000)
+
+
 def test_decontamination_of_nothing(spark):
     docs, items = edge.docs(spark), edge.benchmark(spark)
     assert decontaminate.remove_leaks(docs, items).count() == len(edge.ROWS)
