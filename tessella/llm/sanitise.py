@@ -25,7 +25,8 @@ KINDS = ("email", "ip", "card", "phone")
 # the last match ended (\G); starts inside a run can't match what its start couldn't.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
-CARD = r"[0-9]++(?:[ -][0-9]++)*+"
+# Only runs of 13 digits and more match at all, from their start.
+CARD = r"(?<![0-9])(?<![0-9][ -])(?=(?:[0-9][ -]?){12}[0-9])[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 TERM = r"\p{L}+"
@@ -34,16 +35,38 @@ PIECE = r"(?s).{1,2000}(?!\p{L})|.\p{L}+"
 NO_SPANS = "cast(array() as array<struct<s:int,e:int,m:string>>)"
 
 
+#: Sums run within chunks of so many elements and over chunks, so that no array grows by one element at a time.
+CHUNK = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def placed(parts: Column, width) -> Column:
+    """array<struct(at, x)>: each element with the sum of the widths before it, in time in proportion to their number."""
+
+    def along(elements, start, size, name):
+        none = F.slice(F.transform(elements, lambda x: F.struct(start.alias("at"), x.alias(name))), F.lit(1), F.lit(0))
+        step = lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias(name)))).alias("out"))
+        return F.aggregate(elements, F.struct(start.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+    def of(parts):
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / CHUNK).cast("int")), lambda c: F.slice(parts, c * CHUNK + 1, CHUNK))
+        whole = lambda chunk: F.aggregate(chunk, F.lit(0), lambda n, x: n + width(x))
+        many = F.flatten(F.transform(along(chunks, F.lit(0), whole, "c"), lambda y: along(y["c"], y["at"], width, "x")))
+        return F.when(F.size(parts) <= CHUNK, along(parts, F.lit(0), width, "x")).otherwise(many)
+
+    return _bound(parts, of)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct(s, e, m)>: start, end and text of all leftmost non-overlapping matches, in code points."""
     parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("g"), m.alias("m")))
-
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        e = s + F.coalesce(F.length(x["m"]), F.lit(0))
-        return F.struct(e.alias("at"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))))).alias("out"))
-
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("out")), step, lambda acc: acc["out"])
+    at = placed(parts, lambda x: x["g"] + F.coalesce(F.length(x["m"]), F.lit(0)))
+    found = F.filter(at, lambda y: y["x"]["m"].isNotNull())
+    return F.transform(found, lambda y: F.struct((y["at"] + y["x"]["g"]).alias("s"), (y["at"] + y["x"]["g"] + F.length(y["x"]["m"])).alias("e"), y["x"]["m"].alias("m")))
 
 
 def _luhn(match: Column) -> Column:
@@ -67,11 +90,27 @@ def entities(text: Column) -> dict[str, Column]:
 
 
 def _terms(text: Column) -> Column:
-    """The terms of a text: array<struct(s, e, term)>."""
-    none = F.expr("cast(array() as array<struct<at:int,piece:string>>)")
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), x.alias("piece")))).alias("out"))
-    pieces = F.aggregate(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.flatten(F.transform(pieces, lambda p: F.transform(matches(p["piece"], TERM), lambda t: F.struct((t["s"] + p["at"]).alias("s"), (t["e"] + p["at"]).alias("e"), F.lower(t["m"]).alias("term")))))
+    """The terms of a text that no e-mail address overlaps (other entities have no letters): array<struct(s, e, term)>."""
+
+    def of_piece(start, piece):
+        return F.transform(matches(piece, TERM), lambda t: F.struct((t["s"] + start).alias("s"), (t["e"] + start).alias("e"), F.lower(t["m"]).alias("term")))
+
+    def of_gap(start, gap):
+        pieces = placed(F.regexp_extract_all(gap, F.lit(PIECE), F.lit(0)), lambda x: F.length(x))
+        return F.flatten(F.transform(pieces, lambda y: of_piece(y["at"] + start, y["x"])))
+
+    def of_gaps(parts):
+        at = placed(parts, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+
+        def inner(y, i):
+            end = y["at"] + F.length(y["x"]["gap"])
+            # what touches an address is a part of a term that goes on in it
+            return F.filter(of_gap(y["at"], y["x"]["gap"]), lambda t: ((t["s"] > y["at"]) | (i == 0)) & ((t["e"] < end) | y["x"]["m"].isNull()))
+
+        return F.flatten(F.transform(at, inner))
+
+    gaps = F.zip_with(F.split(text, EMAIL, -1), F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
+    return F.when(F.contains(text, F.lit("@")), _bound(gaps, of_gaps)).otherwise(of_gap(F.lit(0), text))
 
 
 def find_entities(docs: DataFrame, keep_text: bool = False) -> DataFrame:
@@ -121,9 +160,7 @@ def find_private(docs: DataFrame, generalise: float = 0.7, remove: float = 0.9,
     action = F.when(F.col("share") >= remove, "remove").otherwise("generalise")
     terms = marked.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("s", "e", action.alias("action")))).alias("terms"))
     out = found.drop("near").join(terms, "rid", "left")
-    every = F.concat(*(F.col(k) for k in KINDS))
-    free = F.filter("terms", lambda t: ~F.exists(every, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return out.withColumn("terms", F.coalesce(free, F.expr("cast(array() as array<struct<s:int,e:int,action:string>>)")))
+    return out.withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<s:int,e:int,action:string>>)")))
 
 
 def _listed(kind: str, spans: Column) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessella.llm import decontaminate, jaccard, lines, preference, sanitise
 from tessella.llm.components import components
@@ -453,6 +454,29 @@ def test_private_base_on_random_text(spark, texts):
         assert ([r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]], r["base_sha256"]) == private_base(texts[r["doc_id"]])
 
 
+def test_texts_of_many_numbers(spark):
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        rng = np.random.default_rng(n)
+        text = ",".join(str(x) for x in rng.integers(0, 10**9, n)) + " 4111 1111 1111 1111 " + "joe@x.io +49 30 1234567 10.0.0.1 " * (n // 50)
+        began = time.perf_counter()
+        got = sanitise.report(sanitise.find_private(edge.docs(spark, [(0, text, "s")]))).collect()[0]
+        took.append(time.perf_counter() - began)
+        want = private_base(text)
+        assert ([got["n_email"], got["n_ip"], got["n_card"], got["n_phone"]], got["base_sha256"]) == (want[0], want[1])
+    assert took[1] < 4 * took[0] + 10
+
+
+def test_terms_beside_addresses(spark):
+    texts = ["éa@b.com Quorv a@b.com", "xé a@b.comé yy", "Quorvexia"]
+    frame = edge.docs(spark, [(i, t, "s") for i, t in enumerate(texts)]).select("doc_id", sanitise._terms(F.col("text")).alias("t"))
+    got = {r["doc_id"]: [(x["s"], x["e"], x["term"]) for x in r["t"]] for r in frame.collect()}
+    # a term that goes on in an address is left to it
+    assert got == {0: [(9, 14, "quorv")], 1: [(0, 2, "xé"), (12, 14, "yy")], 2: [(0, 9, "quorvexia")]}
+
+
 def test_disclosing_terms(spark):
     mail = [(i, f"Please ask secretary Quorvexia near zq@corp.org about common matters {i}", "s") for i in range(20)]
     rest = [(100 + i, f"Please ask someone about common matters like secretary work {i}", "s") for i in range(200)]
