@@ -2,17 +2,23 @@
 
 A candidate is a long string of letters and digits in a sensitive context.  Its novelty is
 the number of compressed bytes that it adds to its surroundings, with a dictionary of
-identifiers and code loaded into the compressor: what the dictionary or the surrounding
+identifiers loaded into the compressor: what the dictionary or the surrounding
 code explains adds next to nothing, a random key adds nearly its length.
 
-Scale: one pass, no shuffle.  Byte masks over whole chunks pick out the few documents that
-can hold a match; only these meet the expressions that give exact spans.
+The dictionary is learned: the names of letters and underscores that the most documents have.  A secret
+has digits too, so copies of one in any number of documents don't get it into the dictionary.
+
+Scale: one pass counts names, combined before they are shuffled; the driver gets the ``NAMES``
+commonest.  A second pass scans, without a shuffle.  Byte masks over whole chunks pick out the few
+documents that can hold a match; only these meet the expressions that give exact spans.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +40,24 @@ HEX_BYTES = byte_class("0123456789abcdef")
 DIGITS = byte_class("0123456789")
 #: A candidate is novel when it adds at least this share of its length to the compressed surroundings.
 NOVEL_SHARE, BEFORE, AFTER, NEAR = 0.75, 400, 200, 64
-#: Identifiers and code that prime the compressor.
-DICTIONARY = """
-import os sys json class def return self None True False function const let var public private static void string int float
-config settings environment variable username user_name password secret token api_key apikey access_key client_id client_secret
-authorization bearer header content_type application/json request response session cookie database connection host port localhost
-https://www. http:// .com .org .net /api/v1/ /usr/local/bin/ documentation reference identifier parameter argument value default
-example placeholder changeme your_key_here INSERT_KEY_HERE XXXXXXXXXXXXXXXX 0000000000000000 1234567890 0123456789abcdef
-abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ getElementById addEventListener createElement isinstance enumerate
-TimeoutException IllegalArgumentException NullPointerException RuntimeError ValueError KeyError IndexError __init__ __main__
-"""
+#: What counts as a name (no part of a longer string), and how many of the commonest prime the compressor (some 40 KB).
+NAME, NAMES = r"(?<![A-Za-z0-9_+/=-])[A-Za-z_]{4,40}(?![A-Za-z0-9_+/=-])", 4000
+#: Placeholders that stand where secrets would.
+PLACEHOLDERS = "example placeholder changeme your_key_here INSERT_KEY_HERE XXXXXXXXXXXXXXXX xxxxxxxxxxxxxxxx 0000000000000000 1234567890 0123456789 0123456789abcdef 0123456789ABCDEF abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def common_names(docs: DataFrame, most: int = NAMES) -> list[str]:
+    """The names that the most documents have, commonest last (the compressor reaches those best)."""
+    names = F.array_distinct(F.regexp_extract_all(F.col("text").cast("string"), F.lit(NAME), F.lit(0)))
+    counts = docs.select(F.explode(names).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return [r["name"] for r in counts.orderBy(F.desc("n"), "name").limit(most).collect()][::-1]
 
 
 class Scanner:
-    def __init__(self):
-        prime = zstandard.ZstdCompressionDict(DICTIONARY.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
+    def __init__(self, names: Sequence[str] = ()):
+        prime = zstandard.ZstdCompressionDict(" ".join([*names, PLACEHOLDERS]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        prime.precompute_compress(level=3)
+        self.compressor = zstandard.ZstdCompressor(dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
 
     def marginal(self, before: str, what: str, after: str) -> int:
         with_it = len(self.compressor.compress((before + after + "\n" + what).encode()))
@@ -63,12 +71,17 @@ class Scanner:
         return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
 
     def novel(self, text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        out = []
-        taken = sorted((s, e) for s, _, e in known)
+        out, last = [], 0
+        starts, reach = [], []  # base spans by start, and how far all spans up to each one reach
+        for start, _, end in sorted(known):
+            last = max(last, end)
+            starts.append(start)
+            reach.append(last)
         for m in CANDIDATE.finditer(text):
             s, e = m.span()
             what = m[0]
-            if any(s < b and a < e for a, b in taken) or not (any(c.isdigit() for c in what) and any(c.isalpha() for c in what)):
+            before = bisect_right(starts, e - 1)  # spans that start before the candidate ends
+            if before and reach[before - 1] > s or not (any(c.isdigit() for c in what) and any(c.isalpha() for c in what)):
                 continue
             if not SENSITIVE.search(text, max(0, s - NEAR), s):
                 continue
@@ -104,17 +117,18 @@ def join_spans(found: list[tuple[int, int, int]]) -> str:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans (code points, end exclusive).
 
-    Defined results: null text is empty and has no spans; equal rows get equal rows; an empty table
+    ``spans`` has the base spans and those of novel strings.  Defined results: null text is empty and has no spans; equal rows get equal rows; an empty table
     gives no rows; columns other than doc_id and text are ignored.
     """
     small_batches(docs.sparkSession)
+    names = docs.sparkSession.sparkContext.broadcast(common_names(docs))
     schema = docs.select("doc_id").schema
     for c, t in (("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"), ("spans", "string")):
         schema = schema.add(c, t)
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches):
-        scanner = Scanner()
+        scanner = Scanner(names.value)
         for b in chunks(batches):
             texts, n = b.column(1), b.num_rows
             counts, sha, spans_ = np.zeros((3, n), np.int64), [none] * n, [""] * n

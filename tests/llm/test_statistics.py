@@ -178,6 +178,56 @@ def test_secrets_base_and_novel(spark, small):
     assert f"novel:{at}:{at + 24}" in spans[3] and spans[4] == "" and spans[5] == ""
 
 
+def test_novel_spans_against_plain_python(spark):
+    import random
+
+    import zstandard
+
+    rnd = random.Random(5)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    names = ["customer_record_identifier", "requestHandlerFactory", "session_cookie_value", "maximumRetryInterval"]
+    rows, planted = [], {}
+    for i in range(120):
+        random_key = "".join(rnd.choices(alphabet, k=rnd.randrange(20, 45))) + "7x"  # letters and digits, always
+        known = rnd.choice(names) + "_" + rnd.choice(names) + str(i % 3)
+        kind = i % 4
+        what = random_key if kind in (0, 2) else known
+        context = "the client credential in the header is " if kind < 2 else "the weather in the morning was "
+        rows.append((i, f"{' '.join(rnd.choices(names, k=6))} {context}{what} and then {' '.join(rnd.choices(names, k=4))}", "s"))
+        planted[i] = what if kind == 0 else None
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(edge.docs(spark, rows)).collect()}
+    # an independent version of the whole method
+    counts = Counter(w for _, t, _ in rows for w in set(re.findall(r"(?<![\w+/=-])[A-Za-z_]{4,40}(?![\w+/=-])", t)))
+    order = [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:4000]][::-1]
+    prime = zstandard.ZstdCompressionDict(" ".join([*order, secrets.PLACEHOLDERS]).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=3, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False).compress(x.encode()))
+    for i, t, _ in rows:
+        want = []
+        base = re.findall("(?i)(?:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{8,}", t)
+        assert not base
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
+            what, before, after = m[0], t[max(0, m.start() - 400) : m.start()], t[m.end() : m.end() + 200]
+            if re.search("[0-9]", what) and re.search("[A-Za-z]", what) and re.search("(?i)key|secret|token|passw|pwd|auth|credential|private|bearer|signature|aws|access", t[max(0, m.start() - 64) : m.start()]):
+                if size(before + after + "\n" + what) - size(before + after + "\n") >= secrets.NOVEL_SHARE * len(what):
+                    want.append(f"novel:{m.start()}:{m.end()}")
+        assert got[i] == ",".join(want)
+    found = {i for i, s in got.items() if s}
+    assert found == {i for i, w in planted.items() if w}
+
+
+def test_long_texts_of_many_secrets():
+    import time
+
+    took, scanner = [], secrets.Scanner()
+    for n in (5_000, 20_000):
+        text = " ".join(f"token=abcdefgh{i} aws q8Zx3Vt9LmP2wRk{i}" for i in range(n))
+        began = time.perf_counter()
+        base = scanner.base(text)
+        assert len(scanner.novel(text, base)) <= n and len(base) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 2
+
+
 @pytest.mark.parametrize("op", [lambda s, d: mixing.mix_sources(d).documents, lambda s, d: quality_rules.quality_votes(d), lambda s, d: classifier.classify(d, edge.labels(s)), lambda s, d: lm.score_documents(d), lambda s, d: secrets.scan_secrets(d)])
 def test_awkward_rows_and_empty_tables(spark, op):
     assert op(spark, edge.docs(spark)).count() == len(edge.ROWS)
