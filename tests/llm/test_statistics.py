@@ -75,6 +75,45 @@ def test_rules_agree_with_labels(spark):
     assert sum(r["kept"] == (r["quality"] == 1) for r in got) >= 0.98 * len(got)
 
 
+def test_posterior_is_better_than_asking_all_rules(spark):
+    d = "/root/testdata/sf0.1"
+    docs, quality = spark.read.parquet(f"{d}/documents.parquet"), {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    pattern = {r["doc_id"]: r["pattern"] for r in quality_rules.measure(docs).select("doc_id", "pattern").collect()}
+    no_bad = lambda code: all(code // 3**j % 3 != 2 for j in range(len(quality_rules.RULES)))
+    rows = [r for r in quality_rules.quality_votes(docs).collect() if not r["base_failed"]]
+    decided = [r for r in rows if r["kept"] != no_bad(pattern[r["doc_id"]])]
+    labelled = [r for r in rows if r["doc_id"] in quality]
+    right = sum(r["kept"] == (quality[r["doc_id"]] == 1) for r in labelled)
+    naive = sum(no_bad(pattern[r["doc_id"]]) == (quality[r["doc_id"]] == 1) for r in labelled)
+    assert len(decided) >= 10 and right > naive and right >= 0.99 * len(labelled)
+    votes = np.array([[pattern[r["doc_id"]] // 3**j % 3 for j in range(len(quality_rules.RULES))] for r in rows])
+    assert ((votes == 1).any(0)).all() and ((votes == 2).any(0)).sum() >= 6  # rules vote both ways
+
+
+def test_posterior_against_plain_python(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    pattern = {r["doc_id"]: r["pattern"] for r in quality_rules.measure(docs).collect()}
+    rules = len(quality_rules.RULES)
+    votes = {i: [c // 3**j % 3 for j in range(rules)] for i, c in pattern.items()}
+    good_of, bad_of, prior, post = [0.99] * rules, [0.3] * rules, 0.8, {}
+    for _ in range(60):
+        for i, v in votes.items():
+            g, b = prior, 1 - prior
+            for j, x in enumerate(v):
+                g *= {0: 1, 1: good_of[j], 2: 1 - good_of[j]}[x]
+                b *= {0: 1, 1: 1 - bad_of[j], 2: bad_of[j]}[x]
+            post[i] = g / (g + b)
+        for j in range(rules):
+            voted = [i for i in votes if votes[i][j]]
+            right = sum(post[i] for i in voted if votes[i][j] == 1)
+            good_of[j] = min(0.999, max(0.5, (right + 9.9) / (sum(post[i] for i in voted) + 10)))
+            caught = sum(1 - post[i] for i in voted if votes[i][j] == 2)
+            bad_of[j] = min(0.999, max(1.001 - good_of[j], (caught + 3) / (sum(1 - post[i] for i in voted) + 10)))
+        prior = (sum(post.values()) + 4) / (len(votes) + 5)
+    for r in quality_rules.quality_votes(docs).collect():
+        assert math.isclose(r["posterior"], post[r["doc_id"]], abs_tol=1e-4)
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(0)
     y, right = rng.random(20_000) < 0.7, (0.95, 0.8, 0.7, 0.9)
