@@ -35,6 +35,91 @@ def test_mixing_matches_targets(spark):
     assert again == {r["doc_id"]: r["taken"] for r in got}
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of longs."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(struct.pack("<q", v), seed=seed).intdigest()
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def place_of(x, n, rounds):
+    for k, salt in rounds:
+        y = (k - x) % n
+        if spark_hash(salt, max(x, y)) % 2:
+            x = y
+    return x
+
+
+def test_mixture_word_by_word(spark, monkeypatch):
+    """Which words of which document each shard draws, against lists of all words."""
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 7)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), ["a", "b", "c", None][int(rng.choice(4, p=[0.6, 0.25, 0.1, 0.05]))]) for i in range(80)]
+    rows += [(None, "same words in each of them", "b")] * 11 + [(200, "twice here", "a")] * 2
+    mix = mixing.mix_sources(edge.docs(spark, rows), shards=5)
+    got = mix.documents.collect()
+    drawn = Counter()
+    for r in got:
+        for p in r["pieces"]:
+            drawn[r["source"], p["shard"], p["block"]] += p["n_words"]
+        assert r["taken"] == sum(p["n_words"] for p in r["pieces"])
+        assert all(0 <= p["first_word"] and p["first_word"] + p["n_words"] <= r["size"] for p in r["pieces"])
+        for e in {p["epoch"] for p in r["pieces"]}:
+            mine = [w for p in r["pieces"] if p["epoch"] == e for w in range(p["first_word"], p["first_word"] + p["n_words"])]
+            assert len(mine) == len(set(mine))  # no word twice in an epoch
+    want = Counter()
+    for p in mix.plan:
+        n, q, block, left = p["blocks"], p["quota"], p["block"], p["rest"]
+        if not q:
+            continue
+        assert sorted(place_of(x, n, p["draw"]) for x in range(n)) == list(range(n))
+        units = [(e * n + b, min(block, p["source_size"] - b * block)) for e in range(p["epochs"]) for b in range(n)]
+        for b in sorted(range(n), key=lambda b: place_of(b, n, p["draw"])):
+            words = min(left, block, p["source_size"] - b * block)
+            left -= words
+            if words:
+                units.append((p["epochs"] * n + b, words))
+        assert len(units) == q and sum(w for _, w in units) == p["words"]
+        for u, (number, words) in enumerate(units):
+            shard = sum(c <= place_of(u, q, p["order"]) for c in p["bounds"])
+            want[p["source"], shard, number] += words
+    assert drawn == want
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((i, s, len(edge.words(t))) for i, t, s in rows)
+
+
+def test_mixture_comes_through_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    df = edge.docs(spark, [(i, " ".join(["w"] * (i % 50 + 1)), f"s{i % 3}") for i in range(300)])
+    digest = lambda: sorted(map(tuple, mixing._listed(mixing.mix_sources(df, shards=4)).collect()))
+    before = digest()
+    assert before == digest()
+    real = mixing.deal
+    with monkeypatch.context() as m:
+        m.setattr(mixing, "deal", lambda quotas, shards, seed: np.concatenate([np.zeros((shards - 1, len(quotas)), np.int64), [quotas]]))
+        assert digest() != before
+    with monkeypatch.context() as m:  # blocks that no shard is given are not taken
+        m.setattr(mixing, "deal", lambda quotas, shards, seed: real(quotas, shards, seed) // 2)
+        assert sum(r[5] for r in digest()) < 0.7 * sum(r[5] for r in before)
+    shards = Counter()
+    for r in before:
+        for part in filter(None, r[6].split(",")):
+            k, n = map(int, part.split(":"))
+            shards[k] += n
+    assert max(shards.values()) < 1.2 * min(shards.values())
+
+
+def test_permutations_depend_on_the_seed(spark):
+    df = edge.docs(spark, [(i, " ".join(["w"] * 200), "s") for i in range(300)])
+    first = lambda seed: [p["shard"] for r in mixing.mix_sources(df, {"s": 1}, seed=seed).documents.orderBy("doc_id").collect() for p in r["pieces"]]
+    assert first(1) == first(1) != first(2)
+
+
 def test_shares_cap_and_reshare():
     assert mixing.shares({"a": 10, "b": 100, "c": 100}, {"a": 10, "b": 1, "c": 1}, 3) == {"a": 30, "b": 90, "c": 90}
     assert mixing.shares({}, {}, 3) == {} and mixing.shares({"a": 0}, {"a": 1}, 3) == {"a": 0}
