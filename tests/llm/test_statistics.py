@@ -266,6 +266,67 @@ def test_lm_against_brute_force(spark, monkeypatch):
         assert math.isclose(scores[i, len(s)], p, rel_tol=1e-9)
 
 
+def test_lm_of_order_three_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(f"d{i}", " ".join(f"t{(i * j + j // 3) % 7}" for j in range(int(rng.integers(0, 25)))), "s") for i in range(150)] + [(None, "t1 t2 t3", "s")] * 30
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(lm, "EQUAL_ROWS", 10)  # the equal rows are dealt out
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string").repartition(3).cache()
+    seen = {}
+    monkeypatch.setattr(lm, "scorer", lambda totals, w, real=lm.scorer: seen.update(w=w) or real(totals, w))
+    got = lm.score_documents(df, order=3).collect()
+    assert len(got) == len(rows) and {type(r["doc_id"]) for r in got} == {str, type(None)}
+    fold = lambda i: 2 if i is None else edge.crc(i) % 10
+    seqs = [(i, [*edge.words(t, True), None]) for i, t, _ in rows]
+    grams, followed = [None, Counter(), Counter(), Counter()], [None, None, Counter(), Counter()]
+    for i, s in seqs:
+        if fold(i):
+            for at, w in enumerate(s):
+                for k in (1, 2, 3):
+                    context = ("<begin>",) * (at < k - 1) + tuple(s[max(0, at - k + 1) : at])
+                    grams[k][context, w] += 1
+                    if k > 1:
+                        followed[k][context] += 1
+    total, vocabulary = sum(grams[1].values()), len(grams[1])
+    scores = {}
+    for i, s in seqs:
+        p = 0.0
+        for at, w in enumerate(s):
+            x, bucket = [grams[1][(), w] / total], 0
+            for k in (2, 3):
+                context = ("<begin>",) * (at < k - 1) + tuple(s[max(0, at - k + 1) : at])
+                c = followed[k][context]
+                x.insert(0, grams[k][context, w] / c if c else 0)
+                if c:
+                    bucket = min(int(math.log2(c)) + 1, lm.BUCKETS - 1) + (k - 2) * lm.BUCKETS
+            weights = seen["w"][bucket]
+            p += math.log10(sum(a * b for a, b in zip(weights, x)) + weights[3] / (vocabulary + 1))
+        scores[i, len(s)] = p
+    for r in got:
+        assert math.isclose(r["score"], scores[r["doc_id"], r["n_tokens"]], rel_tol=1e-9)
+
+
+def test_weights_from_cells_are_near_those_from_events():
+    """Expectation-maximisation over cells against the same over single events."""
+    rng = np.random.default_rng(2)
+    size, vocabulary = 20_000, 500.0
+    pair = np.where(rng.random(size) < 0.3, 0, 2.0 ** -rng.uniform(0, 6, size))
+    word = 2.0 ** -rng.uniform(3, 12, size)
+    logs = np.stack([np.where(pair > 0, np.log2(np.maximum(pair, 1e-300)), 0), np.log2(word)], 1)
+    classes = np.stack([np.where(pair > 0, 1 + np.round(-2 * logs[:, 0]), 0), 1 + np.round(-2 * logs[:, 1])], 1).astype(np.int64)
+    cell = (5 * lm.CLASSES + classes[:, 0]) * lm.CLASSES + classes[:, 1]
+    cells, which, n = np.unique(cell, return_inverse=True, return_counts=True)
+    means = np.stack([np.bincount(which, logs[:, k]) / n for k in range(2)], 1)
+    got = lm.learn(cells, n.astype(float), means, vocabulary)[5]
+    w = np.array([0.45, 0.45, 0.1])
+    p = np.stack([pair, word, np.full(size, 1 / (vocabulary + 1))], 1)
+    for _ in range(100):
+        share = w * p
+        total = (share / share.sum(1, keepdims=True)).sum(0) + w * 0.5 + 1e-3
+        w = total / total.sum()
+    assert np.allclose(got, w, atol=0.01)
+
+
 def test_lm_prefers_its_mixture_on_held_out_text(spark):
     got = [r for r in lm.lm_query(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
