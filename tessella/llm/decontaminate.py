@@ -29,13 +29,13 @@ PLAIN_WORDS = 4
 BROADCAST_ROWS = 1_000_000
 #: So many of the benchmark's lower-case words, the commonest, are told from names where they are capitalised.  A rarer
 #: one counts as a name there, in items and in texts alike, so that copies still agree.
-ORDINARY_WORDS = 20_000
+ORDINARY_WORDS = 5_000
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
 #: Units that count as such after a number.
 UNITS = "km kg cm mm mg ml lb lbs oz ft kb mb gb tb hz mph kmh m g l s h meter meters metre metres mile miles gram grams kilogram kilograms kilometer kilometers kilometre kilometres liter liters litre litres pound pounds ounce ounces foot feet inches inch yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split()
 #: The start of a capitalised word within a sentence; it gets a mark.
 INNER_CAPITAL = r"\p{Lu}(?<=[\p{Ll},;]\x20\p{Lu})(?=\p{Ll})"
-TOKEN = rf"[0-9]+(?:[.,:/][0-9]+)*|{NAME}?(?:(?![0-9])[\p{{L}}\p{{M}}\p{{N}}])+"
+TOKEN = rf"[0-9]++(?:[.,:/][0-9]++)*+|{NAME}?[\p{{L}}\p{{M}}\p{{N}}&&[^0-9]]++"
 LOWER_WORD = r"(?<![\p{L}\p{M}\p{N}])\p{Ll}[\p{Ll}\p{M}]*(?![\p{L}\p{N}])"
 AFTER_DIGITS = ":"
 
@@ -45,17 +45,24 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(text, INNER_CAPITAL, f"{NAME}$0"), F.lit(TOKEN), F.lit(0))
 
 
-def _kinds(raw: Column, ordinary: list[str]) -> Column:
-    """A template token for each raw one."""
+def _kinds(raw: Column, ordinary: list[str], numbers: Column) -> Column:
+    """A template token for each raw one; ``numbers`` says whether there are any."""
 
-    def kind(t, i):
-        number = t < AFTER_DIGITS  # tokens begin with a digit, a letter or the mark
+    def plain(t):
         low = F.lower(t)
         capital = (low != t) & ~low.isin(ordinary) if ordinary else low != t
-        unit = F.coalesce(F.get(raw, i - 1) < AFTER_DIGITS, F.lit(False)) & low.isin(UNITS)
-        return F.when(number, NUMBER).when(unit, UNIT).when(F.startswith(t, F.lit(NAME)) | capital, NAME).otherwise(low)
+        # most tokens begin with a small letter and are no more than lowered
+        return F.when(t.between("a", "{"), low).when(F.startswith(t, F.lit(NAME)) | capital, NAME).otherwise(low)
+
+    def kind(t, i):
+        unit = F.coalesce(F.get(raw, i - 1) < AFTER_DIGITS, F.lit(False)) & F.lower(t).isin(UNITS)
+        return F.when(t < AFTER_DIGITS, NUMBER).when(unit, UNIT).otherwise(plain(t))  # tokens begin with a digit, a letter or the mark
+
+    return F.when(numbers, F.transform(raw, kind)).otherwise(F.transform(raw, plain))
+
 
-    return F.transform(raw, kind)
+def has_numbers(text: Column) -> Column:
+    return text.rlike("[0-9]")
 
 
 def _later_name(kinds: Column, i: Column) -> Column:
@@ -70,7 +77,7 @@ def _bound(value: Column, use) -> Column:
 def template(text: Column, ordinary: list[str] = ()) -> Column:
     """The template tokens of a text."""
     joined = lambda kinds: F.filter(kinds, lambda t, i: (t != NAME) | ~F.get(kinds, i - 1).eqNullSafe(F.lit(NAME)))
-    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, list(ordinary)), joined))
+    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, list(ordinary), has_numbers(text)), joined))
 
 
 def slots(text: Column, ordinary: list[str] = ()) -> Column:
@@ -87,7 +94,7 @@ def slots(text: Column, ordinary: list[str] = ()) -> Column:
 
         return _bound(at, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda i, j: slot(at, i, j)))
 
-    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, list(ordinary)), lambda kinds: F.when(F.size(kinds) > 0, of(raw, kinds)).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))))
+    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, list(ordinary), has_numbers(text)), lambda kinds: F.when(F.size(kinds) > 0, of(raw, kinds)).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))))
 
 
 def ordinary_words(items: DataFrame) -> list[str]:
@@ -101,8 +108,8 @@ def window_hashes(tokens: Column, width: int = WINDOW) -> Column:
 
     def of(w):
         n = F.size(w)
-        many = F.transform(F.sequence(F.lit(1), n - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
-        return F.when(n >= width, many).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        many = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(width))))
+        return F.when(n >= width, many).when(n > 0, F.array(F.xxhash64(n, w))).otherwise(F.expr("cast(array() as array<bigint>)"))
 
     return _bound(F.transform(tokens, lambda t: F.xxhash64(t)), of)
 
@@ -126,6 +133,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     # an item stands as it is written and, for texts that have no capitals, all in lower case
     forms = F.array_distinct(F.array("text", F.lower("text")))
     parsed = items.select("item_id", F.posexplode(forms).alias("form", "text")).select("item_id", "form", "text", template(F.col("text"), ordinary).alias("tokens"))
+    parsed = settle(parsed, "benchmark-templates")  # the list of words is long; plans hold it once
     said = parsed.select("item_id", "form", "tokens", F.posexplode(window_hashes(F.col("tokens"), width)).alias("ipos", "h"))
     plain_words = F.filter(F.slice("tokens", F.col("ipos") + 1, width), lambda t: ~t.isin(NUMBER, UNIT, NAME))
     said = said.where(4 * F.size(plain_words) >= F.least(F.lit(width), F.size("tokens"))).select("item_id", "form", "ipos", "h", F.size("tokens").alias("item_tokens"))
@@ -134,7 +142,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
     texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
-    seen = texts.select(*text_keys(F.col("text")), (F.lower("text") == F.col("text")).alias("low"), F.posexplode(window_hashes(template(F.col("text"), ordinary), width)).alias("pos", "h"))
+    # the keys are worked out before the windows become rows, once a text
+    cut = texts.select(*text_keys(F.col("text")), (F.lower("text") == F.col("text")).alias("low"), window_hashes(template(F.col("text"), ordinary), width).alias("hashes"))
+    seen = cut.select("k1", "k2", "low", F.posexplode("hashes").alias("pos", "h"))
     hits = seen.join(windows, "h").where((F.col("form") == 0) | F.col("low"))
     # copies of a text count once: positions, not rows
     key = ["k1", "k2", "item_id", "form", "item_windows", "item_tokens"]
@@ -160,18 +170,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
         keyed = texts.select(*text_keys(F.col("text")), "text").join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, ["k1", "k2"], "left_semi")
         one = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
         both = open_.join(one, ["k1", "k2"]).join(has_slots, same)
-        both = both.withColumns({"said": slots(F.col("s_text"), ordinary), "here": slots(F.col("text"), ordinary), "covered": F.flatten(F.transform("parts", lambda x: x["at"]))})
+        # written, so that slots are worked out once a text and not again for each diagonal
+        both = settle(both.select(*aligned.columns, F.size("s_tokens").alias("n_said"), slots(F.col("s_text"), ordinary).alias("said"), slots(F.col("text"), ordinary).alias("here")), "slots")
+        both = both.withColumn("covered", F.flatten(F.transform("parts", lambda x: x["at"])))
 
         def on_line(x):
             low = F.array_min(x["at"])
-            length = F.array_max(x["at"]) - low + F.least(F.lit(width), F.size("s_tokens"))
+            length = F.array_max(x["at"]) - low + F.least(F.lit(width), F.col("n_said"))
             pairs = F.zip_with(F.slice("said", low + 1, length), F.slice("here", low + x["shift"] + 1, length), lambda b, d: F.struct(b["kind"].alias("kind"), b["value"].alias("was"), d["value"].alias("now")))
             return F.filter(pairs, lambda s, j: s["was"].isNotNull() & F.exists(x["at"], lambda i: (low + j).between(i, i + (width - 1))))
 
         plain_said = F.filter("said", lambda s, j: s["value"].isNull() & F.exists("covered", lambda i: j.between(i, i + (width - 1))))
         both = both.withColumn("n_plain", F.size(plain_said)).withColumn("slots", F.array_distinct(F.flatten(F.transform("parts", on_line))))
         many = lambda name: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["kind"], s[name]))))
-        enough = F.col("n_plain") >= F.least(F.lit(PLAIN_WORDS), F.ceil(F.size("s_tokens") / 2))
+        enough = F.col("n_plain") >= F.least(F.lit(PLAIN_WORDS), F.ceil(F.col("n_said") / 2))
         consistent = enough & (F.size("slots") == many("was")) & (F.size("slots") == many("now"))
         checked = both.where(consistent).withColumn("exact", F.forall("slots", lambda s: s["was"].eqNullSafe(s["now"])))
         plain = plain.unionByName(checked.select(*plain.columns))
