@@ -30,6 +30,9 @@ BROADCAST_ROWS = 1_000_000
 #: So many of the benchmark's lower-case words, the commonest, are told from names where they are capitalised.  A rarer
 #: one counts as a name there, in items and in texts alike, so that copies still agree.
 ORDINARY_WORDS = 5_000
+#: They are looked up by hash in a table of so many bytes, as a list of them would be slow to plan with.  One name in a
+#: hundred falls on a taken place and counts as a word, in items and in texts alike.
+ORDINARY_PLACES = 1 << 19
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
 #: Units that count as such after a number.
 UNITS = "km kg cm mm mg ml lb lbs oz ft kb mb gb tb hz mph kmh m g l s h meter meters metre metres mile miles gram grams kilogram kilograms kilometer kilometers kilometre kilometres liter liters litre litres pound pounds ounce ounces foot feet inches inch yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split()
@@ -45,12 +48,14 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(text, INNER_CAPITAL, f"{NAME}$0"), F.lit(TOKEN), F.lit(0))
 
 
-def _kinds(raw: Column, ordinary: list[str], numbers: Column) -> Column:
+def _kinds(raw: Column, ordinary: Column | None, numbers: Column) -> Column:
     """A template token for each raw one; ``numbers`` says whether there are any."""
 
     def plain(t):
         low = F.lower(t)
-        capital = (low != t) & ~low.isin(ordinary) if ordinary else low != t
+        capital = low != t
+        if ordinary is not None:
+            capital = capital & (F.substr(ordinary, _place(low) + 1, F.lit(1)) != F.lit(b"\x01"))
         # most tokens begin with a small letter and are no more than lowered
         return F.when(t.between("a", "{"), low).when(F.startswith(t, F.lit(NAME)) | capital, NAME).otherwise(low)
 
@@ -74,13 +79,13 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def template(text: Column, ordinary: list[str] = ()) -> Column:
+def template(text: Column, ordinary: Column | None = None) -> Column:
     """The template tokens of a text."""
     joined = lambda kinds: F.filter(kinds, lambda t, i: (t != NAME) | ~F.get(kinds, i - 1).eqNullSafe(F.lit(NAME)))
-    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, list(ordinary), has_numbers(text)), joined))
+    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, ordinary, has_numbers(text)), joined))
 
 
-def slots(text: Column, ordinary: list[str] = ()) -> Column:
+def slots(text: Column, ordinary: Column | None = None) -> Column:
     """struct(kind, value) of each template token; value, the raw one in lower case, is null where no placeholder stands."""
 
     def of(raw, kinds):
@@ -94,13 +99,21 @@ def slots(text: Column, ordinary: list[str] = ()) -> Column:
 
         return _bound(at, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda i, j: slot(at, i, j)))
 
-    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, list(ordinary), has_numbers(text)), lambda kinds: F.when(F.size(kinds) > 0, of(raw, kinds)).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))))
+    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, ordinary, has_numbers(text)), lambda kinds: F.when(F.size(kinds) > 0, of(raw, kinds)).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))))
 
 
-def ordinary_words(items: DataFrame) -> list[str]:
-    """The benchmark's commonest words in lower case (at most ``ORDINARY_WORDS``)."""
+def _place(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(ORDINARY_PLACES)).cast("int")
+
+
+def ordinary_words(items: DataFrame) -> Column:
+    """The benchmark's commonest words in lower case (at most ``ORDINARY_WORDS``), as a table of bytes by hash."""
     words = items.select(F.explode(F.regexp_extract_all("text", F.lit(LOWER_WORD), F.lit(0))).alias("word"))
-    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(ORDINARY_WORDS).collect()]
+    common = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(ORDINARY_WORDS)
+    table = bytearray(ORDINARY_PLACES)
+    for r in common.select(_place(F.col("word")).alias("place")).distinct().collect():
+        table[r["place"]] = 1
+    return F.lit(bytes(table))
 
 
 def window_hashes(tokens: Column, width: int = WINDOW) -> Column:
@@ -133,7 +146,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     # an item stands as it is written and, for texts that have no capitals, all in lower case
     forms = F.array_distinct(F.array("text", F.lower("text")))
     parsed = items.select("item_id", F.posexplode(forms).alias("form", "text")).select("item_id", "form", "text", template(F.col("text"), ordinary).alias("tokens"))
-    parsed = settle(parsed, "benchmark-templates")  # the list of words is long; plans hold it once
+    parsed = settle(parsed, "benchmark-templates")
     said = parsed.select("item_id", "form", "tokens", F.posexplode(window_hashes(F.col("tokens"), width)).alias("ipos", "h"))
     plain_words = F.filter(F.slice("tokens", F.col("ipos") + 1, width), lambda t: ~t.isin(NUMBER, UNIT, NAME))
     said = said.where(4 * F.size(plain_words) >= F.least(F.lit(width), F.size("tokens"))).select("item_id", "form", "ipos", "h", F.size("tokens").alias("item_tokens"))
