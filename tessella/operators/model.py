@@ -26,16 +26,21 @@ def gather(tokens: DataFrame, table: DataFrame, total_check: bool = True) -> Dat
     return out.withColumn("vector", F.when(F.col("vector").isNull(), lost.cast(table.schema["vector"].dataType)).otherwise(F.col("vector")))
 
 
-def attention(rows: DataFrame, key: str, pos: str, causal: bool = True) -> DataFrame:
+def attention(rows: DataFrame, key: str, pos: str, causal: bool = True, mask: DataFrame | None = None) -> DataFrame:
     """Scaled dot-product attention within each sequence: key, pos, out.
 
-    ``rows`` has q, k, v arrays.  With ``causal`` a query sees keys at its position or before.  A query's
-    keys are one group: sequences are bounded by the model's context.
+    ``rows`` has q, k, v arrays.  With ``causal`` a query sees keys at its position or before.  ``mask`` (key, pos,
+    seen), if given, lists the positions that each query may look at besides; a query that sees nothing has no row.  A
+    query's keys are one group: sequences are bounded by the model's context.
     """
     left = rows.select(key, F.col(pos).alias("i_"), "q")
     right = rows.select(F.col(key).alias("key_"), F.col(pos).alias("j_"), "k", "v")
     on = (F.col(key) == F.col("key_")) & ((F.col("j_") <= F.col("i_")) if causal else F.lit(True))
-    scored = left.join(right, on).select(key, "i_", "j_", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q"))).alias("score_"), "v")
+    pairs = left.join(right, on)
+    if mask is not None:
+        allowed = mask.select(F.col(key).alias("m_key_"), F.col(pos).alias("m_i_"), F.col("seen").alias("m_j_"))
+        pairs = pairs.join(allowed, (F.col(key) == F.col("m_key_")) & (F.col("i_") == F.col("m_i_")) & (F.col("j_") == F.col("m_j_")), "left_semi")
+    scored = pairs.select(key, "i_", "j_", (dot(F.col("q"), F.col("k")) / F.sqrt(F.size("q"))).alias("score_"), "v")
     by = scored.groupBy(key, F.col("i_").alias(pos)).agg(F.array_sort(F.collect_list(F.struct("j_", F.col("score_").alias("s"), "v"))).alias("all"))
     weights = by.select(key, pos, softmax(F.transform("all", lambda x: x["s"])).alias("w"), F.transform("all", lambda x: x["v"]).alias("vs"))
     size = F.size(F.col("vs")[0])

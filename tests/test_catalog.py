@@ -51,3 +51,31 @@ def test_queries_reach_all_items(spark):
     assert len({r["item_id"] for r in tops}) == n and len(tops) > n and all(r["top"] is not None for r in tops)
     first = max(r["start"] for r in catalog.QUERIES["random_batch"](spark, SMALL).collect())
     assert first > 500  # beyond any one item
+
+
+def test_gpt5_words_against_regex(spark):
+    from collections import Counter
+
+    import regex
+
+    from tessella.functions.pretokens import GPT5_PATTERN
+
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    want = Counter(t.encode().hex().upper() for x in texts for t in regex.findall(GPT5_PATTERN, x))
+    got = {r["word"].replace("<", "").replace(">", ""): r["cnt"] for r in catalog.QUERIES["gpt5_word_counts"](spark, SMALL).collect()}
+    assert got == dict(want)
+
+
+def test_encoded_chunks_have_the_ids_of_their_lines(spark):
+    from tessella.operators import encoding
+    from tessella.operators.vocabulary import Vocabulary
+
+    v = Vocabulary((("74", "68"), ("7468", "65"), ("20", "7468")), ("<|endoftext|>",))
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    encoder, want = encoding.Encoder(v), []
+    for r in docs.collect():
+        lines = (r["text"] or "").split("\n")
+        parts = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+        want += [(r["doc_id"], i, p, list(encoder.encode_iterable([p]))) for i, p in enumerate(parts)]
+    got = [(r["doc_id"], r["chunk"], r["chunk_text"], r["ids"]) for r in encoding.encode_chunks(docs, v).collect()]
+    assert sorted(got) == sorted(want)

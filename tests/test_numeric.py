@@ -142,3 +142,81 @@ def test_printable_and_progress(spark):
         p.stop("a")
         assert p.report(10)
     assert p.summary()["total"] == 100
+
+
+def plain_model(ids, w, c):
+    """The language model in plain Python: lists, loops, and complex numbers for the rotations."""
+    import cmath
+    import math
+
+    times = lambda m, x: [sum(a * b for a, b in zip(row, x)) for row in m]
+    norm = lambda x, g: [a / math.sqrt(sum(b * b for b in x) / len(x) + c.eps) * k for a, k in zip(x, g)]
+    size = c.d_model // c.num_heads
+
+    def rotated(x, at):
+        out = []
+        for i in range(0, size, 2):
+            z = complex(x[i], x[i + 1]) * cmath.exp(1j * at / c.rope_theta ** (i / size))
+            out += [z.real, z.imag]
+        return out
+
+    xs = [list(w["token_embeddings.weight"][t]) for t in ids]
+    for layer in range(c.num_layers):
+        g = lambda n, layer=layer: w[f"layers.{layer}.{n}.weight"]
+        normed = [norm(x, g("ln1")) for x in xs]
+        q, k, v = ([times(g(f"attn.{n}_proj"), x) for x in normed] for n in "qkv")
+        mixed = []
+        for i in range(len(xs)):
+            heads = []
+            for h in range(c.num_heads):
+                part = slice(h * size, (h + 1) * size)
+                scores = [sum(a * b for a, b in zip(rotated(q[i][part], i), rotated(k[j][part], j))) / math.sqrt(size) for j in range(i + 1)]
+                e = [math.exp(s - max(scores)) for s in scores]
+                heads += [sum(e[j] * v[j][part][d] for j in range(i + 1)) / sum(e) for d in range(size)]
+            mixed.append(times(g("attn.output_proj"), heads))
+        xs = [[a + b for a, b in zip(x, m)] for x, m in zip(xs, mixed)]
+        for n, x in enumerate(xs):
+            y = norm(x, g("ln2"))
+            gate = [a / (1 + math.exp(-a)) * b for a, b in zip(times(g("ffn.w1"), y), times(g("ffn.w3"), y))]
+            xs[n] = [a + b for a, b in zip(x, times(g("ffn.w2"), gate))]
+    return [times(w["lm_head.weight"], norm(x, w["ln_final.weight"])) for x in xs]
+
+
+def test_language_model_against_plain_python(spark):
+    import numpy as np
+
+    from tessella.operators import model
+
+    c = model.Config(vocab_size=30, context_length=9, d_model=16, num_layers=3, num_heads=4, d_ff=24)
+    rng = np.random.default_rng(7)
+    w = {n: rng.normal(0, 0.4, x.shape) for n, x in c.random_weights(1).items()}
+    ids = [3, 17, 0, 29, 3, 8, 8]
+    want = plain_model(ids, w, c)
+    assert np.allclose(model.np_language_model(np.array(ids), w, c), want, atol=1e-9)
+    assert np.allclose(model.np_language_model(np.array([ids, ids[::-1]]), w, c)[1], plain_model(ids[::-1], w, c), atol=1e-9)
+    df = spark.createDataFrame([(0, ids), (1, ids[:1]), (2, []), (3, None)], "i int, ids array<int>")
+    got = {r["i"]: r["logits"] for r in model.next_token_logits(df, w, c).collect()}
+    assert np.allclose(got[0], want[-1], atol=1e-9) and np.allclose(got[1], want[0], atol=1e-9) and got[2] is None and got[3] is None
+    # one block and multi-head attention without rotations
+    x = rng.normal(0, 1, (5, 16))
+    heads = lambda t: model.np_self_attention(t, *(w[f"layers.0.attn.{n}_proj.weight"] for n in ("q", "k", "v", "output")), 4)
+    order = [2, 0, 1, 3, 4]
+    assert np.allclose(heads(x)[3:], heads(x[order])[3:])  # without positions the order of what came before is nothing
+
+
+def test_attention_with_a_general_mask(spark):
+    import numpy as np
+
+    from tessella.operators import model
+
+    rng = np.random.default_rng(5)
+    q, k, v = (rng.normal(0, 1, (2, 6, 4)) for _ in range(3))
+    seen = rng.random((2, 6, 6)) < 0.5
+    seen[:, np.arange(6), np.arange(6)] = True
+    rows = spark.createDataFrame([(s, i, q[s, i].tolist(), k[s, i].tolist(), v[s, i].tolist()) for s in range(2) for i in range(6)], "seq int, pos int, q array<double>, k array<double>, v array<double>")
+    mask = spark.createDataFrame([(s, i, j) for s in range(2) for i in range(6) for j in range(6) if seen[s, i, j]], "seq int, pos int, seen int")
+    for causal in (False, True):
+        got = {(r["seq"], r["pos"]): r["out"] for r in model.attention(rows, "seq", "pos", causal, mask).collect()}
+        both = seen & np.tril(np.ones((6, 6), bool)) if causal else seen
+        want = model.np_attention(q, k, v, both)
+        assert all(np.allclose(got[s, i], want[s, i]) for s in range(2) for i in range(6))
