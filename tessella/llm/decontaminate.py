@@ -30,9 +30,8 @@ BROADCAST_ROWS = 1_000_000
 #: So many of the benchmark's lower-case words, the commonest, are told from names where they are capitalised.  A rarer
 #: one counts as a name there, in items and in texts alike, so that copies still agree.
 ORDINARY_WORDS = 5_000
-#: They are looked up by hash in a table of so many bytes, as a list of them would be slow to plan with.  One name in a
-#: hundred falls on a taken place and counts as a word, in items and in texts alike.
-ORDINARY_PLACES = 1 << 19
+#: They are looked up in so many short lists by hash, which a plan holds as one small literal.
+ORDINARY_LISTS = 256
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
 #: Units that count as such after a number.
 UNITS = "km kg cm mm mg ml lb lbs oz ft kb mb gb tb hz mph kmh m g l s h meter meters metre metres mile miles gram grams kilogram kilograms kilometer kilometers kilometre kilometres liter liters litre litres pound pounds ounce ounces foot feet inches inch yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split()
@@ -55,7 +54,7 @@ def _kinds(raw: Column, ordinary: Column | None, numbers: Column) -> Column:
         low = F.lower(t)
         capital = low != t
         if ordinary is not None:
-            capital = capital & (F.substr(ordinary, _place(low) + 1, F.lit(1)) != F.lit(b"\x01"))
+            capital = capital & ~F.contains(F.get(ordinary, _list_of(low)), F.concat(F.lit(" "), low, F.lit(" ")))
         # most tokens begin with a small letter and are no more than lowered
         return F.when(t.between("a", "{"), low).when(F.startswith(t, F.lit(NAME)) | capital, NAME).otherwise(low)
 
@@ -102,18 +101,18 @@ def slots(text: Column, ordinary: Column | None = None) -> Column:
     return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, ordinary, has_numbers(text)), lambda kinds: F.when(F.size(kinds) > 0, of(raw, kinds)).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))))
 
 
-def _place(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(ORDINARY_PLACES)).cast("int")
+def _list_of(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(ORDINARY_LISTS)).cast("int")
 
 
 def ordinary_words(items: DataFrame) -> Column:
-    """The benchmark's commonest words in lower case (at most ``ORDINARY_WORDS``), as a table of bytes by hash."""
+    """The benchmark's commonest words in lower case (at most ``ORDINARY_WORDS``): an array of lists by hash."""
     words = items.select(F.explode(F.regexp_extract_all("text", F.lit(LOWER_WORD), F.lit(0))).alias("word"))
     common = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(ORDINARY_WORDS)
-    table = bytearray(ORDINARY_PLACES)
-    for r in common.select(_place(F.col("word")).alias("place")).distinct().collect():
-        table[r["place"]] = 1
-    return F.lit(bytes(table))
+    lists = [" "] * ORDINARY_LISTS
+    for r in common.select("word", _list_of(F.col("word")).alias("at")).collect():
+        lists[r["at"]] += r["word"] + " "
+    return F.split(F.lit("|".join(lists)), r"\|", -1)
 
 
 def window_hashes(tokens: Column, width: int = WINDOW) -> Column:
