@@ -27,11 +27,9 @@ WINDOW, COVER = 8, 1 / 3
 PLAIN_WORDS = 4
 #: Benchmark windows or slot candidates up to this many rows (about 50 MB) are broadcast.
 BROADCAST_ROWS = 1_000_000
-#: So many of the benchmark's lower-case words, the commonest, are told from names where they are capitalised.  A rarer
-#: one counts as a name there, in items and in texts alike, so that copies still agree.
-ORDINARY_WORDS = 5_000
-#: They are looked up in so many short lists by hash, which a plan holds as one small literal.
-ORDINARY_LISTS = 256
+#: The benchmark's lower-case words, all of them, are told from names where they are capitalised.  They are looked up in
+#: lists by hash, of so many words on average.
+ORDINARY_LIST = 16
 NUMBER, UNIT, NAME = "\ue001", "\ue002", "\ue003"
 #: Units that count as such after a number.
 UNITS = "km kg cm mm mg ml lb lbs oz ft kb mb gb tb hz mph kmh m g l s h meter meters metre metres mile miles gram grams kilogram kilograms kilometer kilometers kilometre kilometres liter liters litre litres pound pounds ounce ounces foot feet inches inch yard yards second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent degree degrees".split()
@@ -54,7 +52,7 @@ def _kinds(raw: Column, ordinary: Column | None, numbers: Column) -> Column:
         low = F.lower(t)
         capital = low != t
         if ordinary is not None:
-            capital = capital & ~F.contains(F.get(ordinary, _list_of(low)), F.concat(F.lit(" "), low, F.lit(" ")))
+            capital = capital & ~F.contains(F.get(ordinary, _list_of(low, F.size(ordinary))), F.concat(F.lit(" "), low, F.lit(" ")))
         # most tokens begin with a small letter and are no more than lowered
         return F.when(t.between("a", "{"), low).when(F.startswith(t, F.lit(NAME)) | capital, NAME).otherwise(low)
 
@@ -81,7 +79,8 @@ def _bound(value: Column, use) -> Column:
 def template(text: Column, ordinary: Column | None = None) -> Column:
     """The template tokens of a text."""
     joined = lambda kinds: F.filter(kinds, lambda t, i: (t != NAME) | ~F.get(kinds, i - 1).eqNullSafe(F.lit(NAME)))
-    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, ordinary, has_numbers(text)), joined))
+    of = lambda ordinary: _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, ordinary, has_numbers(text)), joined))
+    return of(None) if ordinary is None else _bound(ordinary, of)
 
 
 def slots(text: Column, ordinary: Column | None = None) -> Column:
@@ -98,21 +97,25 @@ def slots(text: Column, ordinary: Column | None = None) -> Column:
 
         return _bound(at, lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda i, j: slot(at, i, j)))
 
-    return _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, ordinary, has_numbers(text)), lambda kinds: F.when(F.size(kinds) > 0, of(raw, kinds)).otherwise(F.expr("cast(array() as array<struct<kind:string,value:string>>)"))))
+    none = F.expr("cast(array() as array<struct<kind:string,value:string>>)")
+    whole = lambda ordinary: _bound(raw_tokens(text), lambda raw: _bound(_kinds(raw, ordinary, has_numbers(text)), lambda kinds: F.when(F.size(kinds) > 0, of(raw, kinds)).otherwise(none)))
+    return whole(None) if ordinary is None else _bound(ordinary, whole)
 
 
-def _list_of(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(ORDINARY_LISTS)).cast("int")
+def _list_of(word: Column, lists: Column) -> Column:
+    return F.pmod(F.xxhash64(word), lists).cast("int")
 
 
 def ordinary_words(items: DataFrame) -> Column:
-    """The benchmark's commonest words in lower case (at most ``ORDINARY_WORDS``): an array of lists by hash."""
+    """All words that the benchmark writes in lower case: an array of lists by hash.  It is the value of a subquery, so
+    plans don't hold the words; ``template`` and ``slots`` take it as a column of their table."""
     words = items.select(F.explode(F.regexp_extract_all("text", F.lit(LOWER_WORD), F.lit(0))).alias("word"))
-    common = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(ORDINARY_WORDS)
-    lists = [" "] * ORDINARY_LISTS
-    for r in common.select("word", _list_of(F.col("word")).alias("at")).collect():
-        lists[r["at"]] += r["word"] + " "
-    return F.split(F.lit("|".join(lists)), r"\|", -1)
+    words = settle(words.distinct(), "ordinary-words")
+    lists = max(1, words.count() // ORDINARY_LIST)
+    filled = words.groupBy(_list_of(F.col("word"), F.lit(lists)).alias("at")).agg(F.concat(F.lit(" "), F.array_join(F.collect_list("word"), " "), F.lit(" ")).alias("list"))
+    every = words.sparkSession.range(lists).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
+    row = every.agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("list", F.lit(" ")).alias("list")))).alias("lists"))
+    return settle(row.select(F.col("lists.list").alias("lists")), "ordinary-lists").select("lists").scalar()
 
 
 def window_hashes(tokens: Column, width: int = WINDOW) -> Column:
@@ -144,7 +147,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     ordinary = ordinary_words(items)
     # an item stands as it is written and, for texts that have no capitals, all in lower case
     forms = F.array_distinct(F.array("text", F.lower("text")))
-    parsed = items.select("item_id", F.posexplode(forms).alias("form", "text")).select("item_id", "form", "text", template(F.col("text"), ordinary).alias("tokens"))
+    parsed = items.select("item_id", F.posexplode(forms).alias("form", "text")).withColumn("ordinary", ordinary)
+    parsed = parsed.select("item_id", "form", "text", template(F.col("text"), F.col("ordinary")).alias("tokens"))
     parsed = settle(parsed, "benchmark-templates")
     said = parsed.select("item_id", "form", "tokens", F.posexplode(window_hashes(F.col("tokens"), width)).alias("ipos", "h"))
     plain_words = F.filter(F.slice("tokens", F.col("ipos") + 1, width), lambda t: ~t.isin(NUMBER, UNIT, NAME))
@@ -155,7 +159,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
         windows = F.broadcast(windows)
     texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
     # the keys are worked out before the windows become rows, once a text
-    cut = texts.select(*text_keys(F.col("text")), (F.lower("text") == F.col("text")).alias("low"), window_hashes(template(F.col("text"), ordinary), width).alias("hashes"))
+    cut = texts.withColumn("ordinary", ordinary).select(*text_keys(F.col("text")), (F.lower("text") == F.col("text")).alias("low"), window_hashes(template(F.col("text"), F.col("ordinary")), width).alias("hashes"))
     seen = cut.select("k1", "k2", "low", F.posexplode("hashes").alias("pos", "h"))
     hits = seen.join(windows, "h").where((F.col("form") == 0) | F.col("low"))
     # copies of a text count once: positions, not rows
@@ -181,9 +185,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
         keys = open_.select("k1", "k2").distinct()
         keyed = texts.select(*text_keys(F.col("text")), "text").join(F.broadcast(keys) if count <= BROADCAST_ROWS else keys, ["k1", "k2"], "left_semi")
         one = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-        both = open_.join(one, ["k1", "k2"]).join(has_slots, same)
+        both = open_.join(one, ["k1", "k2"]).join(has_slots, same).withColumn("ordinary", ordinary)
         # written, so that slots are worked out once a text and not again for each diagonal
-        both = settle(both.select(*aligned.columns, F.size("s_tokens").alias("n_said"), slots(F.col("s_text"), ordinary).alias("said"), slots(F.col("text"), ordinary).alias("here")), "slots")
+        both = settle(both.select(*aligned.columns, F.size("s_tokens").alias("n_said"), slots(F.col("s_text"), F.col("ordinary")).alias("said"), slots(F.col("text"), F.col("ordinary")).alias("here")), "slots")
         both = both.withColumn("covered", F.flatten(F.transform("parts", lambda x: x["at"])))
 
         def on_line(x):

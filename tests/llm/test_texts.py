@@ -279,6 +279,17 @@ def test_short_lines_are_repeated_by_equal_ones(spark):
     assert got == {1: [0, 1], 2: [0], 3: [0]}
 
 
+def test_every_ordinary_word_is_told_from_names(spark):
+    """However many words the benchmark has: the rarest of them are no names either."""
+    rng = np.random.default_rng(31)
+    words = sorted({fresh_word(rng) for _ in range(6000)})
+    items = spark.createDataFrame([(i, " ".join(words[i : i + 100] * 2)) for i in range(0, len(words), 100)] + [(7, "zyzzyva is the last word")], "item_id long, text string")
+    texts = spark.createDataFrame([(w.capitalize(),) for w in [*words, "Zyzzyva", "Qqqqqqqq"]], "text string")
+    got = {r[0]: r[1] for r in texts.withColumn("ordinary", decontaminate.ordinary_words(items)).select("text", decontaminate.template(F.col("text"), F.col("ordinary"))).collect()}
+    assert [t for t, kinds in got.items() if kinds == [decontaminate.NAME]] == ["Qqqqqqqq"]
+    assert all(kinds == [t.lower()] for t, kinds in got.items() if t != "Qqqqqqqq")
+
+
 ITEMS = [
     (0, "The train from Paris to Berlin covers 300 km in 4 hours and then another 300 km in 5 hours, so what is its average speed overall"),
     (1, "every word of this item is plain and it says nothing about any number at all, only words follow words until the end"),
