@@ -236,6 +236,77 @@ def test_recall_of_fuzzy_lines(spark, monkeypatch, one_piece):
     assert all(r >= (0.98 if name == "one" else 0.9) for (n, name), r in recall.items()), recall
 
 
+def shared_keys(texts, levels, light):
+    """For each two texts in a row, whether their lines have the keys in common, at places that may stand for each other, that
+    candidates need: two, or one without a place."""
+    x = lines.Lines(pa.array(texts, pa.string()))
+    keys, first = x.keys(levels, light)
+    low = (1 << 2 * lines.SPOT_BITS) - 1
+    out = []
+    for i in range(0, len(texts), 2):
+        a, b = ([(k >> 2 * lines.SPOT_BITS, k & low) for k in keys[first[j] : first[j + 1]].tolist()] for j in (i, i + 1))
+        common = {k: lines.NO_SPOT in (p, q) for k, p in a for m, q in b if k == m and lines.in_reach(np.array([p]), np.array([q]))[0]}
+        out.append(len(common) > 1 or any(common.values()))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["no counts", "rare and frequent", "frequent only"])
+def test_any_two_similar_lines_share_a_key(kind):
+    rng, texts = np.random.default_rng(21), []
+    frequent = [fresh_word(rng) for _ in range(30)]
+    for n in (5, 6, 9, 10, 14, 15, 20, 33, 57, 80, 200):
+        for _ in range(150):
+            rare = {"no counts": 0.5, "rare and frequent": 0.15, "frequent only": 0.0}[kind]
+            base = [fresh_word(rng) if rng.random() < rare else frequent[rng.integers(30)] for _ in range(n)]
+            other = edited(rng, base, n // 5)
+            if rng.random() < 0.3:  # edits by frequent words, some of them the line's own
+                other = list(base)
+                for at in rng.choice(n, n // 5, replace=False):
+                    other[at] = frequent[rng.integers(30)]
+            if len(other) >= lines.MIN_WORDS and 100 * levenshtein(base, other) <= 20 * max(n, len(other)):
+                texts += [" ".join(base), " ".join(other)]
+    levels = np.zeros(lines.COUNTERS, np.uint8)
+    if kind != "no counts":
+        words = lines.Lines(pa.array([" ".join(frequent)])).words
+        levels[words >> np.uint64(44)] = 100 + rng.integers(0, 50, len(words))
+    assert len(texts) > 1500 and all(shared_keys(texts, levels, 50))
+
+
+def test_long_lines_lose_no_candidate(spark, monkeypatch):
+    """Lines that keep only a few words in a row: every word is looked at, so none is missed but by the SimHash."""
+    monkeypatch.setattr(lines, "ORDER_SHARE", 1)
+    monkeypatch.setattr(lines, "LIGHT", 4)
+    rng, rows = np.random.default_rng(22), []
+    frequent = [fresh_word(rng) for _ in range(40)]
+    for n in (20, 40, 80):
+        for i in range(120):
+            base = [fresh_word(rng) if rng.random() < (0.6, 0.2)[i % 2] else frequent[rng.integers(40)] for _ in range(n)]
+            other = list(base)
+            for at in range(int(rng.integers(5)), n, 5):
+                other[at] = fresh_word(rng)
+            rows += [(len(rows), " ".join(base), "s"), (len(rows) + 1, " ".join(other), "s")]
+    lost, links = brute_near(rows)
+    assert len(links) > 250
+    got = {r["doc_id"] for r in lines.duplicate_lines(edge.docs(spark, rows)).collect()}
+    assert got == lost
+
+
+def brute_near(rows):
+    """Which of rows of one line each are lost, and the links: both SimHashes close, and edit similarity."""
+    x = lines.Lines(pa.array([t for _, t, _ in rows], pa.string()))
+    a, b, split = x.simhash(9), x.simhash(10), [t.split() for _, t, _ in rows]
+    links = []
+    for i in range(len(rows)):
+        for j in np.flatnonzero(lines.near(a[:i], b[:i], a[i], b[i])).tolist():
+            if 100 * levenshtein(split[i], split[j]) <= 20 * max(len(split[i]), len(split[j])):
+                links.append((i, j))
+    root = union(range(len(rows)), links)
+    groups = defaultdict(set)
+    for i in range(len(rows)):
+        groups[root[i]].add(rows[i][0])
+    return {i for g in groups.values() for i in g - {min(g)}}, links
+
+
 def test_unlike_lines_stay(spark):
     rng = np.random.default_rng(3)
     words = [fresh_word(rng) for _ in range(300)]
