@@ -291,6 +291,42 @@ def test_long_lines_lose_no_candidate(spark, monkeypatch):
     assert got == lost
 
 
+def test_long_runs_ask_for_places_and_two_keys():
+    """Of SimHashes of one key, those at places out of reach don't meet, and a pair is sure only if a second key has it."""
+    from tessella.llm.exchange import pack
+
+    rng = np.random.default_rng(23)
+    n = lines.SHORT_RUN + 100
+    sims = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+    sims[1], sims[3] = sims[0] ^ np.uint64(1), sims[2] ^ np.uint64(1)
+    spots = np.full(n, (5 << lines.SPOT_BITS) | 10, np.uint64)
+    spots[:2] = 10, (9 << lines.SPOT_BITS) | 10
+    order = np.argsort(spots, kind="stable")
+    found = lines.close_sims(pa.table({"keys": pa.array([pack(spots[order], True)], pa.binary()), "sims": pa.array([sims[order].tobytes()], pa.binary())}))
+    of = dict(zip(sims[:, 0].view(np.int64).tolist(), range(n)))
+    rows = found.select(["cluster", "sim", "sure"]).to_pylist()
+    met = {of[v] for r in rows for v in (r["cluster"], r["sim"]) if v in of}  # some others are close by chance
+    assert met >= {2, 3} and not met & {0, 1}
+    assert not any(r["sure"] for r in rows)
+
+
+@pytest.mark.parametrize("share", [0.02, 0.2, 0.9])
+def test_stars_cover_all_pairs(share):
+    rng, n = np.random.default_rng(24), 80
+    sims = np.sort(rng.choice(1 << 40, n, replace=False)).astype(np.uint64)
+    i, j = np.triu_indices(n, 1)
+    go = rng.random(len(i)) < share
+    rows = lines.stars(sims, j[go], i[go], np.ones(n, bool)).to_pylist()
+    sure, other = defaultdict(set), set()
+    for r in rows:
+        if r["sure"]:
+            sure[r["cluster"]] |= {r["cluster"], r["sim"]}
+        else:
+            other.add((r["cluster"], r["sim"]))
+    for a, b in zip(sims[i[go]].tolist(), sims[j[go]].tolist()):
+        assert (a, b) in other or any({a, b} <= s for s in sure.values())
+
+
 def brute_near(rows):
     """Which of rows of one line each are lost, and the links: both SimHashes close, and edit similarity."""
     x = lines.Lines(pa.array([t for _, t, _ in rows], pa.string()))
