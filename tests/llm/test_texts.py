@@ -327,6 +327,26 @@ def test_stars_cover_all_pairs(share):
         assert (a, b) in other or any({a, b} <= s for s in sure.values())
 
 
+@pytest.mark.parametrize("kind", ["random", "two sides", "copies"])
+def test_stars_have_rows_in_proportion(kind):
+    """Pairs of a group grow with the square of its size, rows of stars with the size; and all pairs are covered."""
+    rng, made = np.random.default_rng(25), []
+    for n in (300, 1500):
+        sims = np.sort(rng.choice(1 << 40, n, replace=False)).astype(np.uint64)
+        i, j = np.triu_indices(n, 1)
+        go = {"random": rng.random(len(i)) < 0.1, "two sides": (i < n // 2) & (j >= n // 2), "copies": i >= 0}[kind]
+        found = lines.Stars(sims, np.ones(n, bool))
+        for part in np.array_split(np.flatnonzero(go), 3):
+            found.add(i[part], j[part])
+        rows = found.rows().to_pylist()
+        made.append(len(rows))
+        root = {r["sim"]: r["cluster"] for r in rows if r["sure"]}
+        other = {(r["cluster"], r["sim"]) for r in rows if not r["sure"]}
+        assert not set(root) & set(root.values())
+        assert all(root.get(a, a) == root.get(b, b) or (a, b) in other for a, b in zip(sims[i[go]].tolist(), sims[j[go]].tolist()))
+    assert made[0] <= 2 * 300 and made[1] <= 8 * made[0]
+
+
 def brute_near(rows):
     """Which of rows of one line each are lost, and the links: both SimHashes close, and edit similarity."""
     x = lines.Lines(pa.array([t for _, t, _ in rows], pa.string()))
