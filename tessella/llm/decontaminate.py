@@ -134,6 +134,16 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
+def text_windows(texts: DataFrame, ordinary: Column | None, width: int = WINDOW) -> DataFrame:
+    """k1, k2, low (whether the text has no capitals), pos, h: a row a window of each of ``texts``; a text without windows has one row, of nulls."""
+    # the keys are worked out before the windows become rows, once a text; an outer generator keeps Spark from adding
+    # a filter for texts without windows, below, that works out the windows twice more
+    table = texts if ordinary is None else texts.withColumn("ordinary", ordinary)
+    tokens = template(F.col("text"), None if ordinary is None else F.col("ordinary"))
+    cut = table.select(*text_keys(F.col("text")), (F.lower("text") == F.col("text")).alias("low"), window_hashes(tokens, width).alias("hashes"))
+    return cut.select("k1", "k2", "low", F.posexplode_outer("hashes").alias("pos", "h"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover: float = COVER) -> DataFrame:
     """k1, k2 (the text's keys), item_id, n_windows, item_windows, exact: one row for each text and item it leaks.
 
@@ -158,9 +168,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, cover
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
     texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
-    # the keys are worked out before the windows become rows, once a text
-    cut = texts.withColumn("ordinary", ordinary).select(*text_keys(F.col("text")), (F.lower("text") == F.col("text")).alias("low"), window_hashes(template(F.col("text"), F.col("ordinary")), width).alias("hashes"))
-    seen = cut.select("k1", "k2", "low", F.posexplode("hashes").alias("pos", "h"))
+    seen = text_windows(texts, ordinary, width)
     hits = seen.join(windows, "h").where((F.col("form") == 0) | F.col("low"))
     # copies of a text count once: positions, not rows
     key = ["k1", "k2", "item_id", "form", "item_windows", "item_tokens"]

@@ -534,6 +534,15 @@ def test_re_parameterised_items_leak(spark, small):
     assert all(i == k for i, k in got if i < 10_000)
 
 
+def test_windows_are_worked_out_once(spark):
+    texts = spark.createDataFrame([("one two three",), ("",), (" ".join("abcdefghij"),)], "text string")
+    found = decontaminate.text_windows(texts.where("text is not null"), None)
+    plan = found._jdf.queryExecution().executedPlan().toString()  # noqa: SLF001
+    assert plan.count("regexp_extract_all") == 1
+    assert sorted(n for _, n in Counter((r["k1"], r["k2"]) for r in found.where("h is not null").collect()).items()) == [1, 3]
+    assert found.where("h is null").count() == 1
+
+
 def test_decontamination_of_nothing(spark):
     docs, items = edge.docs(spark), edge.benchmark(spark)
     assert decontaminate.remove_leaks(docs, items).count() == len(edge.ROWS)
