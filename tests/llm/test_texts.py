@@ -310,6 +310,54 @@ def test_long_runs_ask_for_places_and_two_keys():
     assert not any(r["sure"] for r in rows)
 
 
+def counted(monkeypatch, name, size):
+    """How much a function of numpy is asked for from now on."""
+    total, f = [0], getattr(np, name)
+
+    def run(x, *args, **kwargs):
+        total[0] += size(x)
+        return f(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, name, run)
+    return total
+
+
+def test_long_runs_compare_what_is_in_reach(monkeypatch):
+    """All close pairs of several runs, without a look at each pair of a run."""
+    rng, n = np.random.default_rng(25), 3000
+    run = np.sort(rng.integers(0, 3, n))
+    sims = rng.integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+    for i in rng.choice(n - 1, 800, replace=False).tolist():
+        sims[i + 1] = sims[i] ^ (np.uint64(1) << rng.integers(0, 64, 2, dtype=np.uint64))
+    size = rng.integers(6, 300, n)
+    spots = (np.minimum(size - 1, rng.integers(0, 300, n)) << lines.SPOT_BITS) | size
+    near = rng.random(n) < 0.5
+    spots[1:][near[1:]] = spots[:-1][near[1:]]
+    spots[rng.choice(n, 20, replace=False)] = lines.NO_SPOT
+    i, j = np.triu_indices(n, 1)
+    go = (run[i] == run[j]) & lines.near(sims[i, 0], sims[i, 1], sims[j, 0], sims[j, 1]) & lines.in_reach(spots[i], spots[j])
+    want = set(zip(i[go].tolist(), j[go].tolist()))
+    looked = counted(monkeypatch, "bitwise_count", np.size)
+    found = [(min(x), max(x)) for a, b in lines.long_run(sims[:, 0], sims[:, 1], spots, run=run) for x in zip(a.tolist(), b.tolist())]
+    assert len(want) > 150 and set(found) == want and len(found) == len(want)
+    assert looked[0] < 0.2 * sum(m * m / 2 for m in np.bincount(run).tolist())
+
+
+def test_unlike_lines_of_a_cluster_are_told_at_once(monkeypatch):
+    """Lines of near SimHashes that share too few words aren't compared pair by pair; those that are similar link."""
+    rng, n = np.random.default_rng(26), 300
+    words = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
+    bodies = [rng.choice(words, 20, replace=False) for _ in range(n)]
+    for i in range(0, 60, 2):
+        bodies[i + 1] = np.concatenate([bodies[i][:5], bodies[i][6:], bodies[i][:1]])
+    table = pa.table({"id": pa.array(range(n), pa.int64()), "sim": pa.array([7] * n, pa.int64()), "weight": pa.array([20] * n, pa.int64()), "body": pa.array([x.tobytes() for x in bodies], pa.binary())})
+    want = {(i, j) for i in range(n) for j in range(i) if 100 * levenshtein(bodies[i].tolist(), bodies[j].tolist()) <= 20 * 20}
+    asked = counted(monkeypatch, "count_nonzero", lambda _: 1)
+    a, b = lines.link_lines(table, [0, n], np.zeros(n, np.int64))
+    assert {(max(x), min(x)) for x in zip(a, b)} == want and len(want) == 30
+    assert asked[0] < n * n / 20
+
+
 @pytest.mark.parametrize("share", [0.02, 0.2, 0.9])
 def test_stars_cover_all_pairs(share):
     rng, n = np.random.default_rng(24), 80
